@@ -18,12 +18,12 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from winnow.storage import durable
 
@@ -51,9 +51,8 @@ class Encoder:
 
     def __init__(self, tokenizer_file: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.file = tokenizer_file
         with open(tokenizer_file, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
@@ -62,12 +61,24 @@ class Encoder:
         ranks = {bytes(to_byte[c] for c in tok): i for tok, i in vocab.items() if tok != _SPECIAL}
         self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def encode(self, text: str) -> bytes:
         plain = not _OTHER.search(text) and _SPECIAL not in text
         ids = self.fast(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_file: str) -> Encoder:
+    """One encoder a worker process, whatever the number of its tasks."""
+    return Encoder(tokenizer_file)
+
+
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of every document.
 
@@ -77,7 +88,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer_file)
+        enc = _encoder(tokenizer_file)
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
