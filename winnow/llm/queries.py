@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -21,9 +21,45 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_read(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/byte_bpe_50k.json")
 
 
+def _held_out() -> Column:
+    """Rows that no model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnow.llm.langid import learn_prototypes, predict_language
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(_held_out(), F.lit(False)).alias("held_out"))
+    learned = learn_prototypes(docs.where("not held_out and lang is not null"))
+    return predict_language(docs.drop("lang"), learned).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnow.llm.urlfilter import RULES, judge_urls
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, text, toxic) of the documents a model may learn from."""
+    labels = _read(spark, sf_dir, "labels").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "text").join(labels.where(~_held_out()), "doc_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnow.llm.toxicity import learn, score_toxicity
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_held_out(), F.lit(False)).alias("held_out"))
+    model = learn(_labelled(spark, docs, sf_dir))
+    return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from winnow.llm import urlfilter
+
+    return {"op4_url_filters": urlfilter.oracle()}
