@@ -55,11 +55,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnow.llm.lsh import near_duplicate_vectors
+
+    return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from winnow.llm import urlfilter
+    from winnow.llm import lsh, urlfilter
 
-    return {"op4_url_filters": urlfilter.oracle()}
+    return {"op4_url_filters": urlfilter.oracle(), "op10_embedding_near_dedup": lsh.ORACLE}
