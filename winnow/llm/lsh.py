@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from winnow.operators.components import connected_components
 from winnow.storage import durable
 
-TABLES = 12
+TABLES = 8
 HASHES = 2
-PROBES = 5  # buckets looked up in each table, the own one first
+PROBES = 4  # buckets looked up in each table, the own one first
 BLOCK = 2000
+LOT = 50_000  # pairs compared at once
+TASK_ROWS = 20_000  # rows of several cells that one call gets
 SEED = 20_011
 
 
@@ -85,17 +87,39 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _meetings(home: np.ndarray, seek: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (seeker, resident) that share a cell, in bounded lots.
+
+    home and seek are the cells of the residents and seekers, each sorted.
+    """
+    lo, hi = np.searchsorted(home, seek, "left"), np.searchsorted(home, seek, "right")
+    many = hi - lo
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(seek):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOT, "right")))
+        n = many[at:stop]
+        a = np.repeat(np.arange(at, stop), n)
+        b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:stop], n)
+        yield a, b
+        at = stop
+
+
 def _links(group: pd.DataFrame, least: float, tables: int, probes: int) -> pd.DataFrame:
-    """Verified links of one block pair: (id, links, root) per linked vector."""
+    """Verified links of some block pairs: (id, links, root) per linked vector."""
     empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
+    group = group.sort_values("cell", kind="stable")
     home, seek = group[group.role == 0], group[group.role == 1]
     if not len(home) or not len(seek):
         return empty
-    hv, sv = (np.stack(g.vec.to_numpy()).astype(np.float64) for g in (home, seek))
+    hv, sv = (list(g.vec.to_numpy()) for g in (home, seek))
+    width = max(len(v) for v in hv)
+    # a cell has one dimension; others are padded, which changes no product
+    hv, sv = (np.array([np.pad(v[:width], (0, width - len(v[:width]))) if len(v) != width else v for v in x]) for x in (hv, sv))
     hn, sn = np.sqrt((hv * hv).sum(1)), np.sqrt((sv * sv).sum(1))
     hi, si, hm, sm = home.id.to_numpy(), seek.id.to_numpy(), home.members.to_numpy(), seek.members.to_numpy()
     hc, sc = (np.stack(g.codes.to_numpy()).reshape(len(g), tables, probes) for g in (home, seek))
-    t = int(group.tab.iloc[0])
+    tab = seek.tab.to_numpy()
     links: dict[int, int] = {}
     root: dict[int, int] = {}
 
@@ -105,22 +129,22 @@ def _links(group: pd.DataFrame, least: float, tables: int, probes: int) -> pd.Da
             x = root[x]
         return x
 
-    for lo in range(0, len(si), 256):
-        cos = (sv[lo : lo + 256] @ hv.T) / (sn[lo : lo + 256, None] * hn[None, :])
-        q, r = np.nonzero((cos >= least) & (si[lo : lo + 256, None] != hi[None, :]))
-        q = q + lo
-        for at in range(0, len(q), 100_000):
-            a, b = q[at : at + 100_000], r[at : at + 100_000]
-            forth = (sc[a] == hc[b][:, :, :1]).any(2)  # the seeker looks into the other's own bucket
-            back = (hc[b] == sc[a][:, :, :1]).any(2)
-            first = np.argmax(forth | back, axis=1) == t
-            mine = first & (~back[:, t] | (si[a] < hi[b]))
-            for x, y, nx, ny in zip(si[a[mine]].tolist(), hi[b[mine]].tolist(), sm[a[mine]].tolist(), hm[b[mine]].tolist(), strict=True):
-                links[x] = links.get(x, 0) + ny
-                links[y] = links.get(y, 0) + nx
-                rx, ry = find(x), find(y)
-                if rx != ry:
-                    root[max(rx, ry)] = min(rx, ry)
+    for a, b in _meetings(home.cell.to_numpy(), seek.cell.to_numpy()):
+        cos = np.einsum("ij,ij->i", sv[a], hv[b]) / (sn[a] * hn[b])
+        near = (cos >= least) & (si[a] != hi[b])
+        a, b = a[near], b[near]
+        if not len(a):
+            continue
+        t, rows = tab[a], np.arange(len(a))
+        forth = (sc[a] == hc[b][:, :, :1]).any(2)  # the seeker looks into the other's own bucket
+        back = (hc[b] == sc[a][:, :, :1]).any(2)
+        mine = (np.argmax(forth | back, axis=1) == t) & forth[rows, t] & (~back[rows, t] | (si[a] < hi[b]))
+        for x, y, nx, ny in zip(si[a[mine]].tolist(), hi[b[mine]].tolist(), sm[a[mine]].tolist(), hm[b[mine]].tolist(), strict=True):
+            links[x] = links.get(x, 0) + ny
+            links[y] = links.get(y, 0) + nx
+            rx, ry = find(x), find(y)
+            if rx != ry:
+                root[max(rx, ry)] = min(rx, ry)
     if not links:
         return empty
     ids = list(links)
@@ -168,8 +192,10 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("role") == 0, F.col("sb")).otherwise(F.col("hb")) - 1))
     cells = placed.select("id", *key, "role", own.alias("own"), other.alias("other"))
     cells = cells.select("id", *key, "role", F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other")).alias("cell_h"), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own")).alias("cell_s"))
-    loaded = cells.join(indexed.select("id", "vec", "members", "codes"), "id")
-    found = durable(loaded.groupBy(*key, "cell_h", "cell_s").applyInPandas(lambda g: _links(g, least, tables, probes), "id long, links long, root long"))
+    cells = durable(cells.select("id", "tab", "role", F.xxhash64(*key, "cell_h", "cell_s").alias("cell")))
+    parts = max(211, cells.count() // TASK_ROWS)
+    loaded = cells.join(indexed.select("id", "vec", "members", "codes"), "id").withColumn("part", F.pmod("cell", F.lit(parts)))
+    found = durable(loaded.groupBy("part").applyInPandas(lambda g: _links(g, least, tables, probes), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("far"))
     comps = connected_components(found.select("id", "root"), "id", "root").select(F.col("id").alias("rep"), "component")
     per_class = (
