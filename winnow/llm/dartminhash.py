@@ -31,9 +31,9 @@ from winnow.storage import durable
 
 WORDS = 5
 LEAST = 0.8
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 32, 7  # a pair at 0.8 shares a band with a probability of 0.9995
 K = BANDS * ROWS
-DARTS = K * (np.log(K) + 5)  # expected number thrown; a coordinate stays empty in under 1 % of texts
+DARTS = K * (np.log(K) + 3)  # expected number thrown; where a coordinate stays empty, twice as many are
 
 
 def weighted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +89,11 @@ def _verify(least: float):
         def of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             return weighted((text or "").encode("utf-8", "surrogatepass"))
 
+        # five standard errors below the least similarity, signatures decide alone
+        agree = least - 5 * np.sqrt(least * (1 - least) / K)
         for b in batches:
-            ok = [similarity(of(x.as_py()), of(y.as_py())) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            same = [np.mean(np.array(x.as_py()) == np.array(y.as_py())) >= agree for x, y in zip(b.column(4), b.column(5), strict=True)]
+            ok = [s and similarity(of(x.as_py()), of(y.as_py())) >= least for s, x, y in zip(same, b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -111,38 +114,44 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     spots = classes.where("sig is not null").select("id", F.explode(bands).alias("band")).distinct()
     shared = spots.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
     buckets = durable(spots.join(shared.select("band", "lead"), "band"))
-    texts = base.where("id is not null").withColumnRenamed("id", "tid")
-    involved = buckets.select(F.col("id").alias("tid")).distinct()
-    texts = durable(texts.join(involved, "tid", "left_semi").dropDuplicates(["tid"]))
+    involved = classes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "sig")
+    texts = durable(involved.join(base.where("id is not null"), "id").dropDuplicates(["id"]))
 
     def compare(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("tid").alias("src"), F.col("t").alias("src_t"))
-        b = texts.select(F.col("tid").alias("dst"), F.col("t").alias("dst_t"))
-        both = pairs.join(b, "dst").join(a, "src").select("src", "dst", "src_t", "dst_t")
+        a = texts.select(F.col("id").alias("src"), F.col("t").alias("src_t"), F.col("sig").alias("src_s"))
+        b = texts.select(F.col("id").alias("dst"), F.col("t").alias("dst_t"), F.col("sig").alias("dst_s"))
+        both = pairs.join(b, "dst").join(a, "src").select("src", "dst", "src_t", "dst_t", "src_s", "dst_s")
         return both.mapInArrow(_verify(least), "src long, dst long")
 
     led = buckets.where("id <> lead").select(F.col("lead").alias("src"), F.col("id").alias("dst")).distinct()
-    edges = durable(compare(led))
-    # (band, id) whose id has been compared with every member in another component
-    done = durable(buckets.where("id = lead").select("band", "id"))
-    lead_count = 1
-    while True:
-        comps = durable(connected_components(edges))
-        state = (
-            buckets.select("band", "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            .join(done.withColumn("done", F.lit(True)), ["band", "id"], "left")
-        )
-        waiting = state.where("done is null").groupBy("band", "component").agg(F.min("id").alias("first"))
-        several = waiting.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    comps = durable(connected_components(durable(compare(led))))
+
+    def unsettled(members: DataFrame) -> DataFrame:
+        """Members of the buckets in which two that have not led are apart."""
+        span = members.where("not led").groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        return members.join(span.where("lo <> hi").select("band"), "band", "left_semi")
+
+    start = buckets.join(comps, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("lead")).alias("led"))
+    active = durable(unsettled(start))
+    leads_at_once = 8
+    while not active.isEmpty():
         order = F.row_number().over(Window.partitionBy("band").orderBy("first"))
-        leads = durable(waiting.join(several.select("band"), "band", "left_semi").withColumn("k", order).where(F.col("k") <= lead_count).select("band", F.col("first").alias("src"), F.col("component").alias("src_c")))
-        if leads.isEmpty():
-            break
-        others = state.select("band", F.col("id").alias("dst"), F.col("component").alias("dst_c"), "done")
-        pairs = leads.join(others, "band").where("src_c <> dst_c and done is null").select("src", "dst").distinct()
-        edges = durable(edges.union(compare(pairs)))
-        done = durable(done.union(leads.select("band", F.col("src").alias("id"))))
-        lead_count *= 2
+        firsts = active.where("not led").groupBy("band", "component").agg(F.min("id").alias("first")).withColumn("k", order)
+        leads = durable(firsts.where(F.col("k") <= leads_at_once).select("band", F.col("first").alias("src"), F.col("component").alias("src_c")))
+        others = active.where("not led").select("band", F.col("id").alias("dst"), F.col("component").alias("dst_c"))
+        pairs = leads.join(others, "band").where("src_c <> dst_c").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        new = durable(compare(pairs))
+        now = active.join(leads.select("band", F.col("src").alias("id"), F.lit(True).alias("new")), ["band", "id"], "left")
+        now = now.select("band", "id", "component", (F.col("led") | F.col("new").isNotNull()).alias("led"))
+        if not new.isEmpty():
+            name = active.select("id", "component").distinct()
+            ends = new.join(name.toDF("src", "a"), "src").join(name.toDF("dst", "b"), "dst")
+            merged = durable(connected_components(ends, "a", "b").toDF("component", "into"))
+            now = now.join(merged, "component", "left").select("band", "id", F.coalesce("into", "component").alias("component"), "led")
+            comps = comps.union(classes.select("id", F.col("id").alias("component")).join(comps, "id", "left_anti")).join(merged, "component", "left")
+            comps = durable(comps.select("id", F.coalesce("into", "component").alias("component")).where("id <> component or into is not null"))
+        active = durable(unsettled(now))
+        leads_at_once *= 4
     found = classes.join(comps, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("id", "h1", "h2").join(found, ["h1", "h2"]).select("id", "component_id")
     out = out.union(base.where("id is null").select("id", F.col("id").alias("component_id")))
