@@ -34,9 +34,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return (r[0], r[1])
+def _settled(edges: DataFrame) -> bool:
+    """Whether every id points to one root and no root points anywhere."""
+    ends = edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.lit(None).alias("root")))
+    per = ends.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.count("root").alias("k"))
+    return per.where("lo <> hi or (k > 0 and k < n)").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -53,15 +55,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         .distinct()
     )
     now = materialise(start)
-    mark = _mark(now.df)
-    while mark[0]:
+    while not _settled(now.df):
         nxt = materialise(_star(_star(now.df, True), False))
-        new = _mark(nxt.df)
         now.drop()
         now = nxt
-        if new == mark:
-            break
-        mark = new
     e = now.df
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
