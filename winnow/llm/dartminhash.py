@@ -10,9 +10,10 @@ similarity.  Texts that agree in a band of coordinates are compared exactly.
 
 Texts with the same words are one class from the start (an aggregation with
 map-side combine).  In a bucket, no list of all pairs is made: its smallest
-member is compared with all others; members that this leaves in other
-components lead further rounds, until all pairs of a bucket have been compared
-or lie in one component, so the components are those of all verified pairs.
+member is compared with all others, which settles most buckets.  Those whose
+members are still in different components are cut into blocks; a task gets
+pairs of blocks, compares signatures in bulk and verifies the pairs that may
+link two components.  The components are those of all verified pairs.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.textops import U, content_key, mix, shingles
@@ -33,6 +35,8 @@ WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 32, 7  # a pair at 0.8 shares a band with a probability of 0.9995
 K = BANDS * ROWS
+BLOCK = 500  # documents of a bucket in one block
+TASK_ROWS = 4000  # rows of several cells that one call gets
 DARTS = K * (np.log(K) + 3)  # expected number thrown; where a coordinate stays empty, twice as many are
 
 
@@ -83,22 +87,81 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["id", "h1", "h2", "sig"])
 
 
+def _alike(least: float):
+    """Keeps the pairs whose signatures agree as pairs at `least` do, or in up
+    to five standard errors fewer coordinates."""
+    agree = least - 5 * np.sqrt(least * (1 - least) / K)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(k).flatten().to_numpy().reshape(-1, K) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array((x == y).mean(1) >= agree, pa.bool_()))
+
+    return run
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=64)
         def of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             return weighted((text or "").encode("utf-8", "surrogatepass"))
 
-        # five standard errors below the least similarity, signatures decide alone
-        agree = least - 5 * np.sqrt(least * (1 - least) / K)
         for b in batches:
-            same = [np.mean(np.array(x.as_py()) == np.array(y.as_py())) >= agree for x, y in zip(b.column(4), b.column(5), strict=True)]
-            ok = [s and similarity(of(x.as_py()), of(y.as_py())) >= least for s, x, y in zip(same, b.column(2), b.column(3), strict=True)]
+            ok = [similarity(of(x.as_py()), of(y.as_py())) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [weighted((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)]
+        cols = [b.column(0), pa.array([u.view(np.int64) for u, _ in got], pa.list_(pa.int64())), pa.array([c for _, c in got], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "elements", "counts"])
+
+
+def _link_cells(least: float):
+    """Links between components inside cells (pairs of blocks of a bucket): a
+    spanning forest of the components' verified links.  Likely pairs come
+    first; a pair that earlier links have joined is not compared."""
+    agree = least - 5 * np.sqrt(least * (1 - least) / K)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for _, cell in group.groupby("cell", sort=False):
+            comp, own = cell.component.to_numpy(), cell.own.to_numpy()
+            inside = bool(cell.inside.iloc[0])
+            sig = np.stack(cell.sig.to_numpy())
+            sets = list(zip(cell.elements, cell.counts, strict=True))
+            root: dict[int, int] = {}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            a, b, score = [], [], []
+            for k in range(len(cell) - 1):
+                same = (sig[k + 1 :] == sig[k]).mean(1)
+                at = np.flatnonzero((same >= agree) & (comp[k + 1 :] != comp[k]) & (inside | (own[k + 1 :] != own[k])))
+                a.append(np.full(len(at), k))
+                b.append(at + k + 1)
+                score.append(same[at])
+            if not a:
+                continue
+            a, b, score = np.concatenate(a), np.concatenate(b), np.concatenate(score)
+            for k in np.argsort(-score, kind="stable").tolist():
+                x, y = int(comp[a[k]]), int(comp[b[k]])
+                rx, ry = find(x), find(y)
+                if rx != ry and similarity(sets[a[k]], sets[b[k]]) >= least:
+                    root[max(rx, ry)] = min(rx, ry)
+                    out.append((min(x, y), max(x, y)))
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, component_id (the smallest id reachable over
     pairs of at least `least`), kept (it is that document).
@@ -108,20 +171,24 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     signed = durable(base.where("id is not null").mapInArrow(_sign, "id long, h1 long, h2 long, sig array<int>"))
-    classes = durable(signed.groupBy("h1", "h2").agg(F.min(F.struct("id", "sig")).alias("m")).select("h1", "h2", F.col("m.id").alias("id"), F.col("m.sig").alias("sig")))
+    classes = durable(signed.groupBy("h1", "h2").agg(F.min(F.struct("id", "sig")).alias("m")).select("h1", "h2", "m.id", "m.sig"))
     # Buckets of at least two classes
     bands = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * ROWS + 1, ROWS)) for b in range(BANDS)])
     spots = classes.where("sig is not null").select("id", F.explode(bands).alias("band")).distinct()
     shared = spots.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
     buckets = durable(spots.join(shared.select("band", "lead"), "band"))
-    involved = classes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "sig")
-    texts = durable(involved.join(base.where("id is not null"), "id").dropDuplicates(["id"]))
+    involved = buckets.select("id").distinct()
+    sigs = durable(classes.join(involved, "id", "left_semi").select("id", "sig"))
+    texts = durable(base.where("id is not null").join(involved, "id", "left_semi").dropDuplicates(["id"]))
+
+    def ends(pairs: DataFrame, table: DataFrame, col: str) -> DataFrame:
+        a = table.select(F.col("id").alias("src"), F.col(col).alias("a"))
+        b = table.select(F.col("id").alias("dst"), F.col(col).alias("b"))
+        return pairs.join(b, "dst").join(a, "src").select("src", "dst", "a", "b")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("src"), F.col("t").alias("src_t"), F.col("sig").alias("src_s"))
-        b = texts.select(F.col("id").alias("dst"), F.col("t").alias("dst_t"), F.col("sig").alias("dst_s"))
-        both = pairs.join(b, "dst").join(a, "src").select("src", "dst", "src_t", "dst_t", "src_s", "dst_s")
-        return both.mapInArrow(_verify(least), "src long, dst long")
+        alike = ends(pairs, sigs, "sig").mapInArrow(_alike(least), "src long, dst long")
+        return ends(alike, texts, "t").mapInArrow(_verify(least), "src long, dst long")
 
     led = buckets.where("id <> lead").select(F.col("lead").alias("src"), F.col("id").alias("dst")).distinct()
     comps = durable(connected_components(durable(compare(led))))
@@ -132,26 +199,17 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
         return members.join(span.where("lo <> hi").select("band"), "band", "left_semi")
 
     start = buckets.join(comps, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("lead")).alias("led"))
-    active = durable(unsettled(start))
-    leads_at_once = 8
-    while not active.isEmpty():
-        order = F.row_number().over(Window.partitionBy("band").orderBy("first"))
-        firsts = active.where("not led").groupBy("band", "component").agg(F.min("id").alias("first")).withColumn("k", order)
-        leads = durable(firsts.where(F.col("k") <= leads_at_once).select("band", F.col("first").alias("src"), F.col("component").alias("src_c")))
-        others = active.where("not led").select("band", F.col("id").alias("dst"), F.col("component").alias("dst_c"))
-        pairs = leads.join(others, "band").where("src_c <> dst_c").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        new = durable(compare(pairs))
-        now = active.join(leads.select("band", F.col("src").alias("id"), F.lit(True).alias("new")), ["band", "id"], "left")
-        now = now.select("band", "id", "component", (F.col("led") | F.col("new").isNotNull()).alias("led"))
-        if not new.isEmpty():
-            name = active.select("id", "component").distinct()
-            ends = new.join(name.toDF("src", "a"), "src").join(name.toDF("dst", "b"), "dst")
-            merged = durable(connected_components(ends, "a", "b").toDF("component", "into"))
-            now = now.join(merged, "component", "left").select("band", "id", F.coalesce("into", "component").alias("component"), "led")
-            comps = comps.union(classes.select("id", F.col("id").alias("component")).join(comps, "id", "left_anti")).join(merged, "component", "left")
-            comps = durable(comps.select("id", F.coalesce("into", "component").alias("component")).where("id <> component or into is not null"))
-        active = durable(unsettled(now))
-        leads_at_once *= 4
+    active = durable(unsettled(start).where("not led").drop("led"))
+    blocks = active.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    dealt = active.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cells = durable(dealt.select("id", "component", "own", (F.col("own") == F.col("other")).alias("inside"), F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("cell")))
+    sets = texts.join(cells.select("id").distinct(), "id", "left_semi").mapInArrow(_sets, "id long, elements array<long>, counts array<long>")
+    loaded = cells.join(durable(sets.join(sigs, "id")), "id").withColumn("part", F.pmod("cell", F.lit(max(211, cells.count() // TASK_ROWS))))
+    links = durable(loaded.groupBy("part").applyInPandas(_link_cells(least), "src long, dst long"))
+    merged = durable(connected_components(links))
+    roots = merged.toDF("component", "into")
+    comps = comps.union(merged.select("id", F.col("id").alias("component")).join(comps, "id", "left_anti"))
+    comps = comps.join(roots, "component", "left").select("id", F.coalesce("into", "component").alias("component"))
     found = classes.join(comps, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("id", "h1", "h2").join(found, ["h1", "h2"]).select("id", "component_id")
     out = out.union(base.where("id is null").select("id", F.col("id").alias("component_id")))
