@@ -61,6 +61,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnow.llm.sadedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from winnow.llm.lsh import near_duplicate_vectors
 
