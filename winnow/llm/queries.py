@@ -27,7 +27,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-def _held_out() -> Column:
+def held_out() -> Column:
     """Rows that no model may learn from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
@@ -35,7 +35,7 @@ def _held_out() -> Column:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from winnow.llm.langid import learn_prototypes, predict_language
 
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(_held_out(), F.lit(False)).alias("held_out"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     learned = learn_prototypes(docs.where("not held_out and lang is not null"))
     return predict_language(docs.drop("lang"), learned).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -47,17 +47,17 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, text, toxic) of the documents a model may learn from."""
     labels = _read(spark, sf_dir, "labels").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(labels.where(~_held_out()), "doc_id")
+    return docs.select("doc_id", "text").join(labels.where(~held_out()), "doc_id")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from winnow.llm.toxicity import learn, score_toxicity
 
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_held_out(), F.lit(False)).alias("held_out"))
-    model = learn(_labelled(spark, docs, sf_dir))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    model = learn(labelled(spark, docs, sf_dir))
     return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
