@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 DIM = 1024
 NGRAM = 3
 CACHED_GRAMS = 40_000
+HELD_GRAMS = 500_000  # n-grams of texts that are bundled at once in training
 UNKNOWN = "und"
 MAX_LANGUAGES = 4096
 
@@ -91,14 +92,25 @@ def learn_prototypes(rows: DataFrame, text: str = "text", lang: str = "lang") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = _space(), {}
-        for b in batches:
-            held: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                if lang is not None and len(codes := gram_codes(text.as_py())):
-                    held.setdefault(lang, []).append(codes)
+        held: dict[str, list[np.ndarray]] = {}
+
+        def flush() -> None:
             for lang, codes in held.items():
                 got = space.bundle(*np.unique(np.concatenate(codes), return_counts=True))
                 sums[lang] = sums.get(lang, 0) + got.astype(np.float64)
+            held.clear()
+
+        size = 0
+        for b in batches:
+            for text, lang in zip(b.column(0), b.column(1), strict=True):
+                lang = lang.as_py()
+                if lang is not None and len(codes := gram_codes(text.as_py())):
+                    held.setdefault(lang, []).append(codes)
+                    size += len(codes)
+                    if size > HELD_GRAMS:
+                        flush()
+                        size = 0
+        flush()
         out = [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(out, names=["lang", "v"])
 
