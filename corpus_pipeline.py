@@ -18,7 +18,7 @@ from winnow.llm.sadedup import remove_repeats
 from winnow.llm.toxicity import learn, score_toxicity
 from winnow.storage import durable
 
-MIN_LANGUAGE_SCORE = 0.1  # texts like no learned language lie below, clean short ones above
+MIN_LANGUAGE_SCORE = 0.04  # clean texts of a single word lie above
 
 
 def _carried(docs: DataFrame) -> DataFrame:
