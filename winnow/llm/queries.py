@@ -53,6 +53,12 @@ def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text").join(labels.where(~held_out()), "doc_id")
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnow.llm.omh import edited_fingerprints
+
+    return edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from winnow.llm.toxicity import learn, score_toxicity
 
