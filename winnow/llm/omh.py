@@ -125,8 +125,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     sized = base.where("id is not null").select("id", F.floor(F.length("t") / 4).alias("cut"))
     links = durable(next_ids(base.select("id")).join(sized, "id"))
-    ends = base.join(links.select(F.col("next").alias("id"), F.col("id").alias("for_id"), "cut"), "id").select(F.col("for_id").alias("id"), F.expr("left(t, cut)").alias("tail"))
-    both = base.join(ends, "id", "left").join(links.select("id", "next"), "id", "left")
+    known = base.where("id is not null")  # the same in both joins, so that texts are shuffled once
+    ends = known.join(links.select(F.col("next").alias("id"), F.col("id").alias("for_id"), "cut"), "id").select(F.col("for_id").alias("id"), F.expr("left(t, cut)").alias("tail"))
+    both = known.join(ends.join(links.select("id", "next"), "id"), "id").select("id", "next", "t", "tail")
+    both = both.unionByName(base.where("id is null").select("id", F.lit(None).cast("long").alias("next"), "t", F.lit("").alias("tail")))
     edited = F.concat(F.expr("left(t, length(t) - floor(length(t) / 4))"), F.coalesce("tail", F.lit("")))
     texts = both.select("id", "next", "t", edited.alias("e"))
     signed = durable(texts.select("id", "next", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), signature(F.col("t")).alias("s"), signature(F.col("e")).alias("es")))
