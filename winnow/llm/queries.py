@@ -53,6 +53,18 @@ def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text").join(labels.where(~held_out()), "doc_id")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnow.llm.spm import encode_documents
+
+    return encode_documents(_read(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/piece_bpe_32k.model", with_ids=False)
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from winnow.llm.lm import stupid_backoff
+
+    return stupid_backoff(_read(spark, sf_dir, "documents"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from winnow.llm.omh import edited_fingerprints
 
@@ -84,6 +96,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from winnow.llm import lsh, urlfilter
+    from winnow.llm import lm, lsh, urlfilter
 
-    return {"op4_url_filters": urlfilter.oracle(), "op10_embedding_near_dedup": lsh.ORACLE}
+    return {"op4_url_filters": urlfilter.oracle(), "op6_lm_scoring": lm.ORACLE, "op10_embedding_near_dedup": lsh.ORACLE}
