@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 GIANT = 256  # longer runs without a blank are scanned in chunks
 CHUNK = 128
-CACHE = 300_000
+CACHE = 1_000_000  # words whose path is kept
+LOT = 1024  # documents whose new words are worked out together
 BELOW = 10.0  # how far under the least score a character that no piece holds (spelled as bytes) is
 NONE = -1e18
 
@@ -51,7 +52,8 @@ class Pieces:
         after = {b for p in self.id for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
         free = [c for c in ",.!?;:\n" if c not in after]
         self.cut = re.compile(rf"(?<=[^\W\d_])(?=[{re.escape(''.join(free))}])") if free else re.compile(r"(?!)")
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.spelled = [bytes([self.of_byte[i]]) if i in self.of_byte else self.text.get(i, "").encode("utf-8", "surrogatepass") for i in range(n)]
+        self.cache: dict[str, bytes] = {}  # little-endian ids of a word
 
     def _arc(self, s: str) -> float:
         return self.score.get(s, self.unknown if len(s) == 1 else NONE)
@@ -121,14 +123,14 @@ class Pieces:
                     j = b[j]
                 self.cache[w] = self._ids(reversed(path))
 
-    def _ids(self, path) -> tuple[int, ...]:
+    def _ids(self, path) -> bytes:
         out: list[int] = []
         for p in path:
             if p in self.id:
                 out.append(self.id[p])
             else:
                 out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
-        return tuple(out)
+        return np.array(out, "<u4").tobytes()
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         split = [(" " + t).replace(" ", f"\0{MARK}").replace(f"{MARK}\0", MARK) if t and "\0" not in t else "" for t in texts]
@@ -142,10 +144,10 @@ class Pieces:
             if len(w) > GIANT:
                 self.cache[w] = self._ids(self._giant(w))
         get = self.cache.__getitem__
-        return [np.fromiter((i for w in s for i in get(w)), np.uint32) for s in split]
+        return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
 
     def decode(self, ids: list[int]) -> str:
-        data = b"".join(bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].encode("utf-8", "surrogatepass") for i in ids)
+        data = b"".join(map(self.spelled.__getitem__, ids))
         return data.decode("utf-8", "surrogatepass").replace(MARK, " ")[1:]
 
 
@@ -165,10 +167,10 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model_file)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, LOT):
+                part = b.slice(lo, LOT)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [x.astype("<u4") for x in p.encode_many(texts)]
+                ids = p.encode_many(texts)
                 cols = [
                     part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                     pa.array([p.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
