@@ -34,15 +34,15 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     pairs = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.when(i > 0, F.get("w", i - 1)).alias("before")))
     grams = base.select("id", F.explode(pairs).alias("g")).groupBy("id", "g.word", "g.before").agg(F.count("*").alias("n"))
     ones = grams.groupBy("word").agg(F.sum("n").alias("n1"))
-    total = ones.agg(F.sum("n1").alias("total"))
+    total = base.agg(F.sum(F.size("w"))).first()[0] or 1
     twos = grams.where("before is not null").groupBy("before", "word").agg(F.sum("n").alias("n2")).where(F.col("n2") >= cutoff)
     known = twos.join(ones.select(F.col("word").alias("before"), F.col("n1").alias("nb")), "before").select("before", "word", F.log(F.col("n2") / F.col("nb")).alias("lp"))
     seen = grams.where("before is not null").join(known, ["before", "word"], "left")
     # pairs with a score are summed at once; the rest need their word's count
     direct = seen.where("lp is not null").groupBy("id").agg(F.sum(F.col("n") * F.col("lp")).alias("s"), F.sum("n").alias("k"))
     rest = seen.where("lp is null").select("id", "word", "n", F.lit(True).alias("back")).unionByName(grams.where("before is null").select("id", "word", "n", F.lit(False).alias("back")))
-    uni = F.log(F.col("n1") / F.col("total")) + F.when(F.col("back"), F.log(F.lit(BACKOFF))).otherwise(0.0)
-    backed = rest.groupBy("id", "word", "back").agg(F.sum("n").alias("n")).join(ones, "word").crossJoin(F.broadcast(total)).groupBy("id").agg(F.sum(F.col("n") * uni).alias("s"), F.sum("n").alias("k"))
+    uni = F.log(F.col("n1") / F.lit(float(total))) + F.when(F.col("back"), F.log(F.lit(BACKOFF))).otherwise(0.0)
+    backed = rest.groupBy("id", "word", "back").agg(F.sum("n").alias("n")).join(ones, "word").groupBy("id").agg(F.sum(F.col("n") * uni).alias("s"), F.sum("n").alias("k"))
     sums = direct.union(backed).groupBy("id").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
     out = docs.select(F.col(id_col).alias("id")).join(sums.withColumnRenamed("id", "sid"), F.col("id").eqNullSafe(F.col("sid")), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("k", F.lit(0)).alias("n_words"), F.round(F.coalesce("s", F.lit(0.0)), 4).alias("log_score"), F.round(F.col("s") / F.col("k"), 6).alias("mean_log_score"))

@@ -52,7 +52,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     that no list names passes.  Of fitting rules the longest wins, between
     equally long ones the longer host.  Verdicts are worked out once per
     distinct (host, path), which a partial aggregation finds before the
-    shuffle, however often a URL is repeated.
+    shuffle, however often a URL is repeated.  Columns of pages with the names
+    of the new ones are replaced; null and scheme-less URLs fit no rule.
     """
     spark = pages.sparkSession
     table = rule_table(spark, rules)
@@ -71,7 +72,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     best = F.max(F.struct("r_len", "r_hlen", "r_rule", "r_verdict")).alias("best")
     found = expanded.join(table, "short").where("digest = r_digest").groupBy("host", "path").agg(best)
     hit = found.select("host", "path", F.col("best.r_rule").alias("rule"), F.col("best.r_verdict").alias("hit_verdict"))
-    return parsed.join(hit, ["host", "path"], "left").select(*pages.columns, "host", "path", "rule", F.coalesce("hit_verdict", F.lit(default)).alias("verdict"))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    parsed = parsed.select(*kept, "host", "path")
+    return parsed.join(hit, ["host", "path"], "left").select(*kept, "host", "path", "rule", F.coalesce("hit_verdict", F.lit(default)).alias("verdict"))
 
 
 ORACLE = """
