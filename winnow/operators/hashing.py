@@ -48,13 +48,13 @@ def cache_entries(files: DataFrame) -> DataFrame:
 
 def scan_counters(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Cache hits, rows skipped for a size of their own, rows to hash, empty."""
-    known = cache_lookup(files.where("size > 0"), cache)
-    many = size_histogram(files.where("size > 0")).where("n > 1").select("size", F.lit(True).alias("many"))
-    hit = F.col("cached_sha").isNotNull()
-    out = known.join(many, "size", "left").agg(
-        F.count_if(hit).alias("cache_hits"), F.count_if(~hit & F.col("many").isNull()).alias("skipped_unique"), F.count_if(~hit & F.col("many").isNotNull()).alias("hashed")
-    )
-    return out.crossJoin(F.broadcast(files.agg(F.count_if(F.col("size") == 0).alias("skipped_empty"))))  # one row each
+    known = cache_lookup(files, cache)
+    many = size_histogram(files).where("n > 1").select("size", F.lit(True).alias("many"))
+    full, hit = F.col("size") > 0, F.col("cached_sha").isNotNull()
+    return known.join(many, "size", "left").agg(
+        F.count_if(full & hit).alias("cache_hits"), F.count_if(full & ~hit & F.col("many").isNull()).alias("skipped_unique"),
+        F.count_if(full & ~hit & F.col("many").isNotNull()).alias("hashed"), F.count_if(F.col("size") == 0).alias("skipped_empty"),
+    )
 
 
 def stale_check(recorded: DataFrame, current: DataFrame) -> DataFrame:
