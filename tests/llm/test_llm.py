@@ -201,6 +201,34 @@ def test_lm(spark):
     assert got[3].n_words == 0 and got[3].mean_log_score is None
 
 
+def test_lm_lots(spark, rows, empty, monkeypatch):
+    """Many lots and ranges, windows inside texts, null and repeated ids,
+    repeated rows and clashing columns, against a direct count."""
+    from winnow.llm import lm
+
+    monkeypatch.setattr(lm, "LOT_BYTES", 4000)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 9000)
+    data = [(k, t, "a") for k, t, _ in rows] + [(None, rows[0][1], "b"), (None, "x y", "b"), (3, "\t x\x0by\r\nx  y\x0c", "c"), (3, "\t x\x0by\r\nx  y\x0c", "c")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lot string").selectExpr("doc_id", "text", "lot", "1 AS id", "2 AS part")
+    split = [[w for w in (t or "").translate(str.maketrans("\t\n\r\f\v", "     ")).split(" ") if w] for _, t, _ in data]
+    one = collections.Counter(w for ws in split for w in ws)
+    two = collections.Counter(p for ws in split for p in zip(ws, ws[1:]))  # noqa: B905
+    want = []
+    for (k, _, _), ws in zip(data, split, strict=True):
+        p = [np.log(two[a, b] / one[a]) if two[a, b] > 1 else np.log(0.4 * one[b] / one.total()) for a, b in zip(ws, ws[1:])]  # noqa: B905
+        p = [np.log(one[ws[0]] / one.total()), *p] if ws else []
+        want.append((-1 if k is None else k, len(ws), float(sum(p))))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.log_score) for r in lm.stupid_backoff(df).collect())
+    want.sort()
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-3 for g, w in zip(got, want, strict=True))
+    assert lm.stupid_backoff(empty).count() == 0
+    texts = [t.encode() for t in ("a b", "", "cc a", " ", "b" * 50 + " a")]
+    whole = lm.token_hashes(texts)
+    monkeypatch.setattr(lm, "WINDOW", 3)
+    assert all((a == b).all() for a, b in zip(whole, lm.token_hashes(texts), strict=True))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 

@@ -1,51 +1,172 @@
-"""Stupid-backoff language-model scores, computed relationally.
+"""Stupid-backoff language-model scores from count tables partitioned by hash.
 
-All documents are exploded into n-grams (hashes), which are counted per
-document first; the count tables of the whole corpus are aggregations of these
-rows by n-gram hash and of single words; the rows are joined to them and summed
-per document.  An n-gram seen fewer than `cutoff` times in the corpus backs off
-to its shorter form, times 0.4 for each step.
+Documents meet in lots of about LOT_BYTES of text.  Each lot lists its distinct
+n-grams (64-bit hashes of the empty n-gram, words and word pairs) with their
+counts, sorted and split by range of hash; those lists, not the single n-grams,
+are what is shuffled.  The lists of one range together are that part of the
+corpus's count table; every list is answered with the counts of its n-grams.
+Each lot then joins the answers to its documents' n-grams and sums them per
+document.  A pair seen fewer than `cutoff` times in the corpus backs off to its
+word, times 0.4.  An n-gram occurs at most once in a lot's list, so frequent
+ones weigh on no range more than rare ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import zlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER = 2
+from winnow.llm.textops import BASE, SPACE, U, mix, prefix_sums, span_hash
+
 BACKOFF = 0.4
 CUTOFF = 2
+LOT_BYTES = 8 << 20  # of text, in one lot of documents
+RANGE_BYTES = 16 << 20  # of text, for one range of hashes
+MAX_PARTITIONS = 50_000  # tasks that share the lots
+WINDOW = 1 << 20  # bytes hashed at a time
+
+EMPTY = U(0)  # the empty n-gram: its count is the number of words
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every word, in order."""
+    raw = np.frombuffer(b" ".join(texts), np.uint8)
+    blank = np.concatenate(([True], SPACE[raw], [True]))
+    lo = np.flatnonzero(blank[:-1] & ~blank[1:])
+    hi = np.flatnonzero(~blank[:-1] & blank[1:])
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+    hashes = np.empty(len(lo), U)
+    k = 0
+    while k < len(lo):
+        end = max(k + 1, int(np.searchsorted(hi, lo[k] + WINDOW, "right")))
+        at = lo[k]
+        sums = prefix_sums(raw[at : hi[end - 1]])
+        hashes[k:end] = span_hash(sums, lo[k:end] - at, hi[k:end] - at)
+        k = end
+    return hashes, np.searchsorted(starts, lo, "right") - 1
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Distinct n-grams ascending and their counts; of every word its text, the
+    place of its own n-gram and of its pair with the word before (-1: none)."""
+    w, doc = token_hashes(texts)
+    inner = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    pairs = mix(mix(w[inner - 1] * BASE + U(1)) + w[inner])
+    keys, place, n = np.unique(np.concatenate(([EMPTY], w, pairs)), return_inverse=True, return_counts=True)
+    n[0] += len(w) - 1
+    pair = np.full(len(w), -1)
+    pair[inner] = place[1 + len(w) :]
+    return keys, n, doc, place[1 : 1 + len(w)], pair
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Unsigned integers by byte place, without the leading places that are 0."""
+    places = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    wide = max((k + 1 for k in range(8) if places[k].any()), default=1)
+    return places[:wide].tobytes()
+
+
+def unsqueeze(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    places = np.frombuffer(data, np.uint8).reshape(-1, n)
+    out[:, : len(places)] = places.T
+    return out.view("<u8").reshape(-1)
+
 
+def _texts(lot: pa.Table) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in lot.column("text").to_pylist()]
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, "\t\n\r\f\x0b", "     "), " "), lambda w: w != "")
+
+LISTS = "lot long, part long, size long, grams binary, counts binary"
+ANSWERS = "lot long, part long, size long, counts binary"
+
+
+def list_grams(parts: int) -> Callable[[pa.Table], pa.Table]:
+    def run(lot: pa.Table) -> pa.Table:
+        keys, n = grams(_texts(lot))[:2]
+        number = lot.column("lot")[0].as_py()
+        cuts = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(1, parts)], U))
+        edges = [0, *cuts.tolist(), len(keys)]
+        rows = []
+        for k in range(parts):
+            a, b = edges[k], edges[k + 1]
+            if a < b:
+                deltas = np.diff(keys[a:b], prepend=U(0))
+                deltas[0] = keys[a] - U((k << 64) // parts)
+                rows.append((number, k, b - a, squeeze(deltas), zlib.compress(squeeze(n[a:b]), 1)))
+        names = ["lot", "part", "size", "grams", "counts"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return run
+
+
+def answer(parts: int) -> Callable[[pa.Table], pa.Table]:
+    def run(lists: pa.Table) -> pa.Table:
+        rows = lists.to_pylist()
+        floor = U((rows[0]["part"] << 64) // parts)
+        keys = [np.cumsum(unsqueeze(r["grams"], r["size"]), dtype=U) + floor for r in rows]
+        n = np.concatenate([unsqueeze(zlib.decompress(r["counts"]), r["size"]) for r in rows])
+        order = np.concatenate(keys).argsort(kind="stable")
+        ranked = np.concatenate(keys)[order]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        totals = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(ranked))))
+        back = np.empty_like(totals)
+        back[order] = totals
+        blobs = [zlib.compress(squeeze(x), 1) for x in np.split(back, np.cumsum([r["size"] for r in rows])[:-1])]
+        return lists.select(["lot", "part", "size"]).append_column("counts", pa.array(blobs, pa.binary()))
+
+    return run
+
+
+def score_lot(cutoff: int, id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(lot: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, _, doc, word, pair = grams(_texts(lot))
+        got = sorted(answers.to_pylist(), key=lambda r: r["part"])
+        counts = np.concatenate([unsqueeze(zlib.decompress(r["counts"]), r["size"]) for r in got]).astype(np.float64)
+        if len(counts) != len(keys):
+            raise ValueError("a lot's answers don't match its n-grams")
+        lp = np.log(counts[word] / max(counts[0], 1.0))
+        later = pair >= 0
+        lp[later] += np.log(BACKOFF)
+        n2 = np.where(later, counts[pair], 0)
+        seen = np.flatnonzero(later & (n2 >= cutoff))
+        lp[seen] = np.log(n2[seen] / counts[word[seen - 1]])
+        k = np.bincount(doc, minlength=lot.num_rows)
+        s = np.bincount(doc, weights=lp, minlength=lot.num_rows)
+        cols = [lot.column("id").combine_chunks().cast(id_type), pa.array(k, pa.int64()), pa.array(s, pa.float64())]
+        return pa.table(cols, names=["id", "k", "s"])
+
+    return run
 
 
 def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cutoff: int = CUTOFF) -> DataFrame:
-    """One row per document: id, n_words, log_score (sum of natural logs over
+    """One row per row of docs: id, n_words, log_score (sum of natural logs over
     its words) and mean_log_score (null without words).
 
     The score of a word after another is count(pair) / count(first) if the pair
     occurs `cutoff` times, else 0.4 * count(word) / words in the corpus; a first
-    word has the latter without the 0.4.  Null text counts as empty; rows with
-    a null id are scored as one document.
+    word has the latter without the 0.4.  Null text counts as empty.  Every row
+    is scored by itself, also where ids are null or repeated, and counts as
+    often as it is given; other columns are ignored.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.transform(words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)).alias("w"))
-    pairs = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.when(i > 0, F.get("w", i - 1)).alias("before")))
-    grams = base.select("id", F.explode(pairs).alias("g")).groupBy("id", "g.word", "g.before").agg(F.count("*").alias("n"))
-    ones = grams.groupBy("word").agg(F.sum("n").alias("n1"))
-    total = base.agg(F.sum(F.size("w"))).first()[0] or 1
-    twos = grams.where("before is not null").groupBy("before", "word").agg(F.sum("n").alias("n2")).where(F.col("n2") >= cutoff)
-    known = twos.join(ones.select(F.col("word").alias("before"), F.col("n1").alias("nb")), "before").select("before", "word", F.log(F.col("n2") / F.col("nb")).alias("lp"))
-    seen = grams.where("before is not null").join(known, ["before", "word"], "left")
-    # pairs with a score are summed at once; the rest need their word's count
-    direct = seen.where("lp is not null").groupBy("id").agg(F.sum(F.col("n") * F.col("lp")).alias("s"), F.sum("n").alias("k"))
-    rest = seen.where("lp is null").select("id", "word", "n", F.lit(True).alias("back")).unionByName(grams.where("before is null").select("id", "word", "n", F.lit(False).alias("back")))
-    uni = F.log(F.col("n1") / F.lit(float(total))) + F.when(F.col("back"), F.log(F.lit(BACKOFF))).otherwise(0.0)
-    backed = rest.groupBy("id", "word", "back").agg(F.sum("n").alias("n")).join(ones, "word").groupBy("id").agg(F.sum(F.col("n") * uni).alias("s"), F.sum("n").alias("k"))
-    sums = direct.union(backed).groupBy("id").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
-    out = docs.select(F.col(id_col).alias("id")).join(sums.withColumnRenamed("id", "sid"), F.col("id").eqNullSafe(F.col("sid")), "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("k", F.lit(0)).alias("n_words"), F.round(F.coalesce("s", F.lit(0.0)), 4).alias("log_score"), F.round(F.col("s") / F.col("k"), 6).alias("mean_log_score"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    lots, parts = size // LOT_BYTES + 1, size // RANGE_BYTES + 1
+    base = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("lot", F.pmod(F.xxhash64("id", "text"), F.lit(lots)))
+    base = base.repartition(min(lots, MAX_PARTITIONS), "lot")
+    id_type = to_arrow_type(base.schema["id"].dataType)
+    lists = base.groupBy("lot").applyInArrow(list_grams(parts), LISTS)
+    answers = lists.repartition(min(parts, MAX_PARTITIONS), "part").groupBy("part").applyInArrow(answer(parts), ANSWERS)
+    schema = base.select("id").schema.add("k", "long").add("s", "double")
+    scored = base.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(score_lot(cutoff, id_type), schema)
+    return scored.select(F.col("id").alias(id_col), F.col("k").alias("n_words"), F.round("s", 4).alias("log_score"), F.round(F.col("s") / F.nullif("k", F.lit(0)), 6).alias("mean_log_score"))
 
 
 ORACLE = """
