@@ -28,7 +28,7 @@ CUTOFF = 2
 LOT_BYTES = 8 << 20  # of text, in one lot of documents
 RANGE_BYTES = 16 << 20  # of text, for one range of hashes
 MAX_PARTITIONS = 50_000  # tasks that share the lots
-WINDOW = 1 << 20  # bytes hashed at a time
+WINDOW = 1 << 17  # bytes hashed at a time
 
 EMPTY = U(0)  # the empty n-gram: its count is the number of words
 
