@@ -7,7 +7,7 @@ columns they got.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm.dartminhash import near_duplicates
@@ -18,7 +18,10 @@ from winnow.llm.sadedup import remove_repeats
 from winnow.llm.toxicity import learn, score_toxicity
 from winnow.storage import durable
 
-MIN_LANGUAGE_SCORE = 0.04  # clean texts of a single word lie above
+MIN_LANGUAGE_SCORE = 0.04  # of a text of few n-grams; clean texts of a single word lie above
+FEW_GRAMS = 30  # different ones; the floor rises with each further one
+SCORE_PER_GRAM = 0.002
+MAX_LANGUAGE_SCORE = 0.35  # of long texts; ones of a learned language lie above, unlearned ones and junk below
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -26,6 +29,12 @@ def _carried(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def language_floor(n_grams: Column) -> Column:
+    """The least score a text of so many different n-grams must reach."""
+    rising = MIN_LANGUAGE_SCORE + SCORE_PER_GRAM * (n_grams - FEW_GRAMS)
+    return F.greatest(F.lit(MIN_LANGUAGE_SCORE), F.least(F.lit(MAX_LANGUAGE_SCORE), rising))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted toxic; learns as op8 does."""
     model = learn(labelled(spark, docs, sf_dir))
@@ -36,7 +45,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and ones like no learned language;
     where nothing can be learned, only the former."""
     protos = learn_prototypes(docs.select("text", "lang").where(F.coalesce(~held_out(), F.lit(False))))
-    floor = MIN_LANGUAGE_SCORE if protos else 0.0
+    floor = language_floor(F.col("n_grams")) if protos else F.lit(0.0)
     judged = predict_language(_carried(docs), protos or {"any": learn_any()})
     return judged.where(F.col("lang_pred") != UNKNOWN).where(F.col("score") >= floor).select("row.*")
 

@@ -239,3 +239,28 @@ def test_pipeline(spark):
         docs = out
     pieces = c.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert pieces.select("doc_id").distinct().count() == docs.count()
+
+
+def test_pipeline_language_floor(spark):
+    """Long texts in unlearned scripts and languages and letter junk go; clean texts of one word stay."""
+    import corpus_pipeline as c
+
+    rng = random.Random(6)
+    junk = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    foreign = {
+        "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Stary młyn stoi nad rzeką i obraca się przez cały dzień, a ludzie z wioski przynoszą tam zboże na mąkę i chleb.",
+        "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. Il vecchio mulino sta vicino al fiume e gira tutto il giorno, mentre la gente del paese porta il grano per fare il pane.",
+        "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Vanha mylly seisoo joen rannalla ja pyörii koko päivän, kun kylän väki tuo sinne viljaa leipää varten.",
+        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    }
+    scripts = ["αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщ", "".join(map(chr, range(0x4E00, 0x55D0))), "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"]
+    bad = [*foreign.values(), *(junk(s, 500) for s in scripts for _ in range(5))]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    learned = [r.text for r in docs.where("text rlike '[[:alpha:]]'").collect()]
+    words = collections.Counter(w for t in learned for w in t.split() if w.isalpha() and len(w) >= 4)
+    good = [w for w, _ in words.most_common(20)]
+    more = [(10**9 + k, t, None) for k, t in enumerate(bad + good)]
+    out = {r.doc_id for r in c.language_id(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), "").collect()}
+    assert not [t[:40] for k, t, _ in more[: len(bad)] if k in out]
+    assert [t for k, t, _ in more[len(bad) :] if k in out] == good
+    assert {r.doc_id for r in docs.where("text rlike '[A-Za-z]'").collect()} <= out

@@ -122,31 +122,34 @@ def learn_prototypes(rows: DataFrame, text: str = "text", lang: str = "lang") ->
 
 
 def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """Adds lang_pred and score (the cosine, 0 if negative).  Null texts and
-    texts without a letter are `und` with score 0, as is every text where
-    nothing was learned; ties go to the first language in order."""
+    """Adds lang_pred, score (the cosine, 0 if negative) and n_grams (how many
+    different n-grams the text has).  Null texts and texts without a letter are
+    `und` with score 0, as is every text where nothing was learned; ties go to
+    the first language in order."""
     names = sorted(prototypes)
     protos = np.array([prototypes[k] for k in names], np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = _space()
         for b in batches:
-            preds, scores = [], []
+            preds, scores, sizes = [], [], []
             for text in b.column(b.num_columns - 1):
-                codes = gram_codes(text.as_py())
+                codes, counts = np.unique(gram_codes(text.as_py()), return_counts=True)
+                sizes.append(len(codes))
                 if not len(codes) or not names:
                     preds.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                v = space.bundle(*np.unique(codes, return_counts=True))
+                v = space.bundle(codes, counts)
                 cos = protos @ v / max(float(np.linalg.norm(v)), 1e-9)
                 best = int(np.argmax(cos))
                 preds.append(names[best])
                 scores.append(min(1.0, max(0.0, float(cos[best]))))
             cols = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=out_names)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], names=out_names)
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out_names = [*kept, "lang_pred", "score"]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    added = ("lang_pred", "score", "n_grams")
+    kept = [c for c in docs.columns if c not in added]
+    out_names = [*kept, *added]
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("n_grams", "long")
     return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
