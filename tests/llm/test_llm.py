@@ -264,3 +264,25 @@ def test_pipeline_language_floor(spark):
     assert not [t[:40] for k, t, _ in more[: len(bad)] if k in out]
     assert [t for k, t, _ in more[len(bad) :] if k in out] == good
     assert {r.doc_id for r in docs.where("text rlike '[A-Za-z]'").collect()} <= out
+
+
+def test_fingerprints_are_order_minhash(spark):
+    """Halves of short texts swapped: the likeness is that of the least two of all elements, kept in text order."""
+    from pyspark.sql import functions as F
+
+    from winnow.llm.omh import likeness, signature
+
+    rng, dice = random.Random(9), np.random.default_rng(9)
+    for n in (10, 20, 60):
+        data, want = [], []
+        for _ in range(100):
+            w = [str(x) for x in rng.sample(range(10**6), n)]
+            sides = [w, w[n // 2 :] + w[: n // 2]]
+            data.append([" ".join(x) for x in sides])
+            at = [{p: k for k, p in enumerate(zip(x, x[1:]))} for x in sides]  # noqa: B905
+            for _ in range(32):
+                rank = dict(zip({**at[0], **at[1]}, dice.random(2 * n), strict=False))
+                first, second = (sorted(sorted(side, key=rank.get)[:2], key=side.get) for side in at)
+                want.append(first == second)
+        got = spark.createDataFrame(data, "a string, b string").select(likeness(signature(F.col("a")), signature(F.col("b"))).alias("x")).collect()
+        assert abs(np.mean([r.x for r in got]) - np.mean(want)) < 0.06

@@ -2,10 +2,11 @@
 
 The symbols are words (runs between white space).  Every k-mer of words gets
 its occurrence number in the text, so that a text is a set of (k-mer, number);
-each is hashed once, which gives it a bin and a rank.  Of every bin the element
-of least rank is kept; two bins make a tuple, whose two elements are put in
-text order and hashed together.  Two texts agree in a tuple if they share both
-elements in the same order, which edits that move text break as well.
+each is hashed once.  A tuple ranks all elements by its own hash, the remainder
+of theirs by its modulus, and takes the two of least rank; they are put in text
+order and hashed together.  Two texts agree in a tuple if they share both
+elements in the same order, which edits that move text break as well.  Only the
+elements whose rank is under a bound are compared, unless fewer than two are.
 
 Sorting packed 64-bit integers stands for a table of occurrences: a text never
 leaves its row, and no k-mer is exploded.
@@ -13,6 +14,8 @@ leaves its row, and no k-mer is exploded.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,9 @@ from winnow.storage import durable
 
 KMER = 2
 TUPLES = 32
-BINS = 2 * TUPLES
+NEAR = 10  # elements expected among the low ranks that are looked at first
+# of each tuple, 2**40 to 2**41; fixed, as fingerprints of different runs are compared
+MODULI = [1 << 40 | int.from_bytes(hashlib.sha256(b"tuple %d" % t).digest()[:5]) | 1 for t in range(TUPLES)]
 PLACE_BITS = 27  # place of a k-mer; the rest of 63 bits is hash
 
 _MASK = (1 << PLACE_BITS) - 1
@@ -59,24 +64,28 @@ def _numbered(s: Column) -> Column:
 
 
 def signature(text: Column) -> Column:
-    """TUPLES hashes (null where a tuple's bins are empty)."""
+    """TUPLES hashes (null for a text without a word)."""
 
     def pick(s: Column) -> Column:
-        # bin (6 bits), rank, place: sorted, the first of each bin is its least
-        ranked = F.zip_with(s, _numbered(s), lambda x, o: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.shiftright(x, PLACE_BITS), o), PLACE_BITS + 1), PLACE_BITS).bitwiseOR(x.bitwiseAND(F.lit(_MASK))))
-        top = 63 - 6
-        first = lambda q: F.filter(q, lambda x, i: (i == 0) | (F.shiftright(x, top) != F.shiftright(F.get(q, i - 1), top)))
-        least = _let(F.sort_array(ranked), first)
-
-        def tuples(m: Column) -> Column:
-            at = F.map_from_entries(F.transform(m, lambda x: F.struct(F.shiftright(x, top).cast("int"), x)))
-            one = lambda t: _let(F.struct(F.try_element_at(at, 2 * t).alias("a"), F.try_element_at(at, 2 * t + 1).alias("b")), join)
-            join = lambda p: F.when(p.a.isNull() & p.b.isNull(), F.lit(None)).otherwise(
-                F.when(p.a.isNull() | p.b.isNull() | (p.a.bitwiseAND(F.lit(_MASK)) <= p.b.bitwiseAND(F.lit(_MASK))), F.xxhash64(F.shiftright(p.a, PLACE_BITS), F.shiftright(p.b, PLACE_BITS))).otherwise(F.xxhash64(F.shiftright(p.b, PLACE_BITS), F.shiftright(p.a, PLACE_BITS)))
-            )
-            return F.transform(F.sequence(F.lit(0), F.lit(TUPLES - 1)), one)
-
-        return _let(least, tuples)
+        elements = F.zip_with(s, _numbered(s), lambda x, o: F.shiftrightunsigned(F.xxhash64(F.shiftright(x, PLACE_BITS), o), 1))
+        place = lambda es, e: F.get(s, (F.array_position(es, e) - 1).cast("int")).bitwiseAND(F.lit(_MASK))
+
+        def tuples(es: Column) -> Column:
+            def one(m: Column) -> Column:
+                low = _let(F.floor(m / F.size(es) * NEAR), lambda bound: F.filter(es, lambda e: e % m < bound))
+                return _let(F.when(F.size(es) <= NEAR, es).otherwise(low), lambda c: least(m, F.when((F.size(c) >= 2) | (F.size(es) < 2), c).otherwise(es)))
+
+            def least(m: Column, some: Column) -> Column:
+                return _let(some, lambda c: _let(F.transform(c, lambda e: e % m), lambda ranks: _let(F.array_min(ranks), lambda r: both(c, ranks, r, F.array_min(F.filter(ranks, lambda x: x > r))))))
+
+            def both(c: Column, ranks: Column, r: Column, r2: Column) -> Column:
+                at = lambda x: F.get(c, (F.array_position(ranks, x) - 1).cast("int"))
+                return _let(F.struct(at(r).alias("a"), at(r2).alias("b")), ordered)
+
+            ordered = lambda p: F.when(p.b.isNull() | (place(es, p.a) <= place(es, p.b)), F.xxhash64(p.a, p.b)).otherwise(F.xxhash64(p.b, p.a))
+            return F.transform(F.array(*[F.lit(m) for m in MODULI]), one)
+
+        return _let(elements, tuples)
 
     none = F.array_repeat(F.lit(None).cast("long"), TUPLES)
     return _let(kmers(text), lambda s: F.when(F.size(s) > 0, pick(s)).otherwise(none))
