@@ -286,3 +286,27 @@ def test_fingerprints_are_order_minhash(spark):
                 want.append(first == second)
         got = spark.createDataFrame(data, "a string, b string").select(likeness(signature(F.col("a")), signature(F.col("b"))).alias("x")).collect()
         assert abs(np.mean([r.x for r in got]) - np.mean(want)) < 0.06
+
+
+def test_lm_orders(spark, rows, monkeypatch):
+    """Orders 1 to 4 and several cutoffs, over many lots, against the recursion of the definition."""
+    from winnow.llm import lm
+
+    monkeypatch.setattr(lm, "LOT_BYTES", 6000)
+    monkeypatch.setattr(lm, "RANGE_BYTES", 20000)
+    data = [(k, t) for k, t, _ in rows] + [(500, "a b a b"), (501, "a b c"), (502, "z"), (503, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    split = {k: (t or "").split() for k, t in data}
+    counts = collections.Counter(tuple(w[i : i + n]) for w in split.values() for n in (1, 2, 3, 4) for i in range(len(w) - n + 1))
+    total = sum(map(len, split.values()))
+
+    def score(g, cutoff):
+        if len(g) == 1:
+            return counts[g] / total
+        return counts[g] / counts[g[:-1]] if counts[g] >= cutoff else 0.4 * score(g[1:], cutoff)
+
+    for order, cutoff in ((1, 1), (2, 1), (3, 1), (3, 2), (4, 3)):
+        got = {r.doc_id: r for r in lm.stupid_backoff(df, order=order, cutoff=cutoff).collect()}
+        for k, w in split.items():
+            want = sum(np.log(score(tuple(w[max(0, i - order + 1) : i + 1]), cutoff)) for i in range(len(w)))
+            assert got[k].n_words == len(w) and abs(got[k].log_score - want) < 1e-3

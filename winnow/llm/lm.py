@@ -1,13 +1,13 @@
 """Stupid-backoff language-model scores from count tables partitioned by hash.
 
 Documents meet in lots of about LOT_BYTES of text.  Each lot lists its distinct
-n-grams (64-bit hashes of the empty n-gram, words and word pairs) with their
-counts, sorted and split by range of hash; those lists, not the single n-grams,
+n-grams (64-bit hashes of the empty n-gram and those of up to `order` words)
+with their counts, sorted and split by range of hash; those lists, not the single n-grams,
 are what is shuffled.  The lists of one range together are that part of the
 corpus's count table; every list is answered with the counts of its n-grams.
 Each lot then joins the answers to its documents' n-grams and sums them per
-document.  A pair seen fewer than `cutoff` times in the corpus backs off to its
-word, times 0.4.  An n-gram occurs at most once in a lot's list, so frequent
+document.  An n-gram seen fewer than `cutoff` times in the corpus backs off to
+the one without its first word, times 0.4.  An n-gram occurs at most once in a lot's list, so frequent
 ones weigh on no range more than rare ones.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from winnow.llm.textops import BASE, SPACE, U, mix, prefix_sums, span_hash
 
 BACKOFF = 0.4
+ORDER = 2  # with CUTOFF as in ORACLE
 CUTOFF = 2
 LOT_BYTES = 8 << 20  # of text, in one lot of documents
 RANGE_BYTES = 16 << 20  # of text, for one range of hashes
@@ -51,17 +52,28 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, lo, "right") - 1
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Distinct n-grams ascending and their counts; of every word its text, the
-    place of its own n-gram and of its pair with the word before (-1: none)."""
+def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct n-grams ascending and their counts; of every word its text and,
+    for each length up to `order`, the place of the n-gram that ends with it
+    (-1: the text has too few words before)."""
     w, doc = token_hashes(texts)
-    inner = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-    pairs = mix(mix(w[inner - 1] * BASE + U(1)) + w[inner])
-    keys, place, n = np.unique(np.concatenate(([EMPTY], w, pairs)), return_inverse=True, return_counts=True)
+    ends, found = [np.arange(len(w))], [w]
+    for n in range(2, order + 1):
+        full = np.zeros(len(w), U)
+        full[ends[-1]] = found[-1]
+        at = ends[-1][1:]  # whose word before ends an n-gram shorter by one, too
+        at = at[doc[at] == doc[at - (n - 1)]] if len(at) else at
+        ends.append(at)
+        found.append(mix(mix(full[at - 1] * BASE + U(n - 1)) + w[at]))
+    keys, place, n = np.unique(np.concatenate(([EMPTY], *found)), return_inverse=True, return_counts=True)
     n[0] += len(w) - 1
-    pair = np.full(len(w), -1)
-    pair[inner] = place[1 + len(w) :]
-    return keys, n, doc, place[1 : 1 + len(w)], pair
+    places, k = [], 1
+    for at in ends:
+        p = np.full(len(w), -1)
+        p[at] = place[k : k + len(at)]
+        places.append(p)
+        k += len(at)
+    return keys, n, doc, places
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -86,9 +98,9 @@ LISTS = "lot long, part long, size long, grams binary, counts binary"
 ANSWERS = "lot long, part long, size long, counts binary"
 
 
-def list_grams(parts: int) -> Callable[[pa.Table], pa.Table]:
+def list_grams(parts: int, order: int) -> Callable[[pa.Table], pa.Table]:
     def run(lot: pa.Table) -> pa.Table:
-        keys, n = grams(_texts(lot))[:2]
+        keys, n = grams(_texts(lot), order)[:2]
         number = lot.column("lot")[0].as_py()
         cuts = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(1, parts)], U))
         edges = [0, *cuts.tolist(), len(keys)]
@@ -124,19 +136,20 @@ def answer(parts: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def score_lot(cutoff: int, id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def score_lot(order: int, cutoff: int, id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(lot: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, _, doc, word, pair = grams(_texts(lot))
+        keys, _, doc, places = grams(_texts(lot), order)
         got = sorted(answers.to_pylist(), key=lambda r: r["part"])
         counts = np.concatenate([unsqueeze(zlib.decompress(r["counts"]), r["size"]) for r in got]).astype(np.float64)
         if len(counts) != len(keys):
             raise ValueError("a lot's answers don't match its n-grams")
-        lp = np.log(counts[word] / max(counts[0], 1.0))
-        later = pair >= 0
-        lp[later] += np.log(BACKOFF)
-        n2 = np.where(later, counts[pair], 0)
-        seen = np.flatnonzero(later & (n2 >= cutoff))
-        lp[seen] = np.log(n2[seen] / counts[word[seen - 1]])
+        lp = np.log(counts[places[0]] / max(counts[0], 1.0))
+        for shorter, place in zip(places, places[1:], strict=False):
+            here = np.flatnonzero(place >= 0)
+            n = counts[place[here]]
+            seen = n >= cutoff
+            lp[here[~seen]] += np.log(BACKOFF)
+            lp[here[seen]] = np.log(n[seen] / counts[shorter[here[seen] - 1]])
         k = np.bincount(doc, minlength=lot.num_rows)
         s = np.bincount(doc, weights=lp, minlength=lot.num_rows)
         cols = [lot.column("id").combine_chunks().cast(id_type), pa.array(k, pa.int64()), pa.array(s, pa.float64())]
@@ -145,27 +158,31 @@ def score_lot(cutoff: int, id_type: pa.DataType) -> Callable[[pa.Table, pa.Table
     return run
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cutoff: int = CUTOFF) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cutoff: int = CUTOFF, order: int = ORDER) -> DataFrame:
     """One row per row of docs: id, n_words, log_score (sum of natural logs over
     its words) and mean_log_score (null without words).
 
-    The score of a word after another is count(pair) / count(first) if the pair
-    occurs `cutoff` times, else 0.4 * count(word) / words in the corpus; a first
-    word has the latter without the 0.4.  Null text counts as empty.  Every row
+    The score of a word after the order - 1 words before it is count(n-gram) /
+    count(n-gram without the word) if the n-gram occurs `cutoff` times (1: at
+    any count), else 0.4 times its score after one word less; that after none
+    is count(word) / words in the corpus.  A word with fewer words before it
+    starts from those, without the 0.4.  Null text counts as empty.  Every row
     is scored by itself, also where ids are null or repeated, and counts as
     often as it is given; other columns are ignored.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    if order < 1:
+        raise ValueError("the order is the number of words in an n-gram, 1 at least")
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     lots, parts = size // LOT_BYTES + 1, size // RANGE_BYTES + 1
     base = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("lot", F.pmod(F.xxhash64("id", "text"), F.lit(lots)))
     base = base.repartition(min(lots, MAX_PARTITIONS), "lot")
     id_type = to_arrow_type(base.schema["id"].dataType)
-    lists = base.groupBy("lot").applyInArrow(list_grams(parts), LISTS)
+    lists = base.groupBy("lot").applyInArrow(list_grams(parts, order), LISTS)
     answers = lists.repartition(min(parts, MAX_PARTITIONS), "part").groupBy("part").applyInArrow(answer(parts), ANSWERS)
     schema = base.select("id").schema.add("k", "long").add("s", "double")
-    scored = base.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(score_lot(cutoff, id_type), schema)
+    scored = base.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(score_lot(order, cutoff, id_type), schema)
     return scored.select(F.col("id").alias(id_col), F.col("k").alias("n_words"), F.round("s", 4).alias("log_score"), F.round(F.col("s") / F.nullif("k", F.lit(0)), 6).alias("mean_log_score"))
 
 
