@@ -310,3 +310,21 @@ def test_lm_orders(spark, rows, monkeypatch):
         for k, w in split.items():
             want = sum(np.log(score(tuple(w[max(0, i - order + 1) : i + 1]), cutoff)) for i in range(len(w)))
             assert got[k].n_words == len(w) and abs(got[k].log_score - want) < 1e-3
+
+
+def test_sentencepiece_ids_equal_library(spark, docs):
+    import sentencepiece
+
+    from winnow.llm.spm import encode_documents
+
+    model = f"{TOK}/piece_bpe_32k.model"
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    rng = random.Random(4)
+    odd = ["des les Elle", " a  b ", "\t x\n\ny", "a▁b ▁▁", "a\0b c", "\x85 ü漢字\U0001f600", "aaaaaaaaa" * 90, "".join(rng.choice("abcder,.1é") for _ in range(3000)), "don't,stop!x;y", "<s>x</s>", "   ", "ﬁ Å"]
+    tables = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    both = tables.unionByName(docs.selectExpr("doc_id + 1000000 AS doc_id", "text")).unionByName(more)
+    text_of = {r.doc_id: r.text or "" for r in both.collect()}
+    for r in encode_documents(both, model).collect():
+        assert r.ids == sp.encode(text_of[r.doc_id]), text_of[r.doc_id][:60]
+        assert r.n_tokens == len(r.ids)

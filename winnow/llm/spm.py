@@ -1,10 +1,12 @@
-"""SentencePiece encoding and decoding by a max-plus scan.
+"""SentencePiece encoding and decoding, by a max-plus scan or by merges.
 
-Encoding is the best path (largest sum of piece scores) through a text.  Its
-state at a cut is how far the piece that crosses it reaches.  A giant run is
-split into chunks; each chunk alone gives the matrix of best sums from entry to
-exit state, matrices are combined associatively (max, +), and with the states
-at its ends known each chunk is traced back by itself.
+Models of the unigram kind: encoding is the best path (largest sum of piece
+scores) through a text.  Its state at a cut is how far the piece that crosses
+it reaches.  A giant run is split into chunks; each chunk alone gives the matrix
+of best sums from entry to exit state, matrices are combined associatively (max,
++), and with the states at its ends known each chunk is traced back by itself.
+Models of the merge kind: the two neighbours whose joint piece has the best
+score are merged, of equals the leftmost, until no two make a piece.
 
 No piece holds a blank mark after another character, so every run of blanks
 and the word after it is a chunk with one state at both ends; the path of a
@@ -17,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,40 @@ BELOW = 10.0  # how far under the least score a character that no piece holds (s
 NONE = -1e18
 
 
+BPE = 2  # model types are 1 unigram, 2 merges, 3 words, 4 characters
+
+
+def model_type(proto: bytes) -> int:
+    """Field 3 of the trainer's settings, which are field 2 of a model file."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                b = data[at]
+                at += 1
+                out |= (b & 127) << shift
+                if b < 128:
+                    return out
+                shift += 7
+
+        while at < len(data):
+            key = number()
+            size = 0
+            if key & 7 == 0:
+                yield key >> 3, number()
+                continue
+            size = number() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+            yield key >> 3, data[at : at + size]
+            at += size
+
+    trainer = b"".join(v for k, v in fields(proto) if k == 2)
+    return next((v for k, v in reversed([*fields(trainer)]) if k == 3), 1)
+
+
 class Pieces:
     def __init__(self, model_file: str):
         import sentencepiece
@@ -46,6 +83,7 @@ class Pieces:
         self.of_byte = {i: b for b, i in self.byte.items()}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece crosses words")
+        self.merges = model_type(sp.serialized_model_proto()) == BPE
         self.unknown = min(self.score.values()) - BELOW
         self.longest = max(map(len, self.id))
         # marks that no piece holds after a letter: a cut there has one state as well
@@ -123,6 +161,27 @@ class Pieces:
                     j = b[j]
                 self.cache[w] = self._ids(reversed(path))
 
+    def _merged(self, s: str) -> list[str]:
+        """The pieces of s after all merges, best score first, of equals the
+        leftmost."""
+        get, n = self.score.get, len(s)
+        part, after, before = list(s), [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(-score, i, s[i : i + 2]) for i in range(n - 1) if (score := get(s[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, joined = heappop(heap)
+            j = after[i]
+            if j < 0 or not part[i] or len(part[i]) + len(part[j]) != len(joined) or part[i] + part[j] != joined:
+                continue  # one of the two has been merged since
+            part[i], part[j], after[i] = joined, "", after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                if (score := get(new := joined + part[after[i]])) is not None:
+                    heappush(heap, (-score, i, new))
+            if (h := before[i]) >= 0 and (score := get(new := part[h] + joined)) is not None:
+                heappush(heap, (-score, h, new))
+        return [p for p in part if p]
+
     def _ids(self, path) -> bytes:
         out: list[int] = []
         for p in path:
@@ -139,10 +198,14 @@ class Pieces:
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
             new = {w for s in split for w in s}
-        self._words([w for w in new if len(w) <= GIANT])
-        for w in new:
-            if len(w) > GIANT:
-                self.cache[w] = self._ids(self._giant(w))
+        if self.merges:
+            for w in new:
+                self.cache[w] = self._ids(self._merged(w))
+        else:
+            self._words([w for w in new if len(w) <= GIANT])
+            for w in new:
+                if len(w) > GIANT:
+                    self.cache[w] = self._ids(self._giant(w))
         get = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), "<u4") for s in split]
 
