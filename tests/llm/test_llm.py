@@ -328,3 +328,14 @@ def test_sentencepiece_ids_equal_library(spark, docs):
     for r in encode_documents(both, model).collect():
         assert r.ids == sp.encode(text_of[r.doc_id]), text_of[r.doc_id][:60]
         assert r.n_tokens == len(r.ids)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    from winnow.llm import langid
+
+    df = spark.createDataFrame([("the mill", "a"), ("die Mühle", "b"), ("le moulin", "c")], "text string, lang string")
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    assert sorted(langid.learn_prototypes(df)) == ["a", "b", "c"]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn_prototypes(df)

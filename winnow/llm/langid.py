@@ -88,7 +88,8 @@ def _space() -> Space:
 
 def learn_prototypes(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """A unit prototype per non-null language, learned from all given rows.
-    Texts without a letter add nothing."""
+    Texts without a letter add nothing.  More than MAX_LANGUAGES languages are
+    an error, as their prototypes would not fit the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = _space(), {}
@@ -116,7 +117,9 @@ def learn_prototypes(rows: DataFrame, text: str = "text", lang: str = "lang") ->
 
     parts = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(run, "lang string, v array<double>")
     each = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
-    found = each.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).orderBy("lang").limit(MAX_LANGUAGES).collect()
+    found = each.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     out = {r["lang"]: np.array([p["x"] for p in r["v"]]) for r in found}
     return {k: v / np.linalg.norm(v) for k, v in out.items() if v.any()}
 
