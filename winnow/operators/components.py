@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.storage import materialise
+from winnow.storage import held, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         nxt = materialise(_star(_star(now.df, True), False))
         now.drop()
         now = nxt
-    e = now.df
+    e = held(now)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

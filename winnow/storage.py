@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,9 @@ class Durable:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_OPEN: list[list[Durable]] = []  # tables written inside each open `scratch`
+
+
 def materialise(df: DataFrame) -> Durable:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/winnow/{uuid.uuid4().hex}"
@@ -52,4 +57,44 @@ def materialise(df: DataFrame) -> Durable:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    return materialise(df).df
+    """df as a written table.  Inside a `scratch` block it lasts to its end,
+    else until the folder is cleaned."""
+    return held(materialise(df))
+
+
+def held(table: Durable) -> DataFrame:
+    """A written table that the innermost `scratch` block is to remove."""
+    if _OPEN:
+        _OPEN[-1].append(table)
+    return table.df
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables written by `durable` inside the block at its end;
+    what is used later must be written by `lasting`."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for table in _OPEN.pop():
+            table.drop()
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """df as a written table that outlives the innermost `scratch` block."""
+    table = materialise(df)
+    if len(_OPEN) > 1:
+        _OPEN[-2].append(table)
+    return table.df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many tasks as there are cores, for work that costs
+    more than moving the rows; only where df is a scan of fewer splits (a few
+    row groups).  Rows and results are the same either way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
