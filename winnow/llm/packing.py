@@ -4,8 +4,8 @@ Documents become token pieces in one narrow pass.  Everything that decides the
 packing is a function of the histogram of piece lengths, which has at most
 `capacity` entries whatever the input size.  The driver therefore plans in
 bulk: for the longest length with items left, the gap it leaves is looked up
-among the lengths, then the pair sums, then the triple sums still available,
-and as many combinations are consumed as the availability counts allow; what
+among the lengths, then in the index of pair sums, then in that of triple sums, and of
+those still available as many combinations are consumed as the availability counts allow; what
 remains is placed best-fit, also in bulk.  The plan is a bounded table of
 (length, rank interval) -> (sequence, offset); each piece finds its place by
 its rank among the pieces of its length.  Ranks are dealt over many salted
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.storage import durable
+from winnow.storage import durable, spread
 
 CAPACITY = 2048
 RANK_GROUP_ROWS = 50_000
@@ -33,12 +33,15 @@ RANK_GROUP_ROWS = 50_000
 #: Fixed value: the byte-level splitting rule of the vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"  # deal: a row's number in its task
+
+LONG_BLANKS = 10_000  # longer blank runs pass by the splitting expression, which such runs exhaust
 
 #: Characters on whose classes all Unicode versions and regex engines agree.
 #: Texts with others, or with the special token, go to the tokenizer itself.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f]")
 _SPECIAL = "<|endoftext|>"
+_BLANKS = re.compile(rf"[\t\n\r ]{{{LONG_BLANKS},}}")
 
 
 class Encoder:
@@ -59,7 +62,8 @@ class Encoder:
         other = [b for b in range(256) if b not in set(shown)]
         to_byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(other)}
         ranks = {bytes(to_byte[c] for c in tok): i for tok, i in vocab.items() if tok != _SPECIAL}
-        self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        coder = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.fast, self.one_part = coder.encode_ordinary, coder._encode_single_piece
 
     @cached_property
     def tokenizer(self):
@@ -67,9 +71,21 @@ class Encoder:
 
         return Tokenizer.from_file(self.file)
 
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a plain text.  The rule makes one part of a blank run, but
+        for its last character where something follows it."""
+        out: list[int] = []
+        at = 0
+        for run in _BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self.fast(text[at : run.start()])
+            out += self.one_part(text[run.start() : end].encode())
+            at = end
+        return out + self.fast(text[at:])
+
     def encode(self, text: str) -> bytes:
         plain = not _OTHER.search(text) and _SPECIAL not in text
-        ids = self.fast(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = self._plain(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
 
@@ -88,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tokenizer_file)
+        enc, deal = _encoder(tokenizer_file), 0
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -97,12 +113,13 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY,
                 cut = n - (-(-n // capacity) - 1) * capacity
                 edges = [0, *range(cut, n + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-                    out.append((doc, k, lo, hi - lo, zlib.crc32(ids[4 * lo : 4 * hi])))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc, k, lo, hi - lo, zlib.crc32(ids[4 * lo : 4 * hi]), deal))
+                    deal += 1
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, PIECES)
 
 
 def plan_patterns(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -130,38 +147,43 @@ def plan_patterns(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
         plans.append((tuple(sorted(runs.items(), reverse=True)), n))
         return True
 
-    def pairs(total: int, top: int, keep: list[int]) -> tuple[int, int] | None:
-        """The pair with the longest first part that sums to total."""
-        a = np.arange(min(top, total - 1), (total - 1) // 2, -1)
-        for x in a[(avail[a] > 0) & (avail[total - a] > 0)].tolist() if len(a) else []:
+    # The index: for each sum, the first (longest) parts of its pairs and triples.
+    held = avail > 0
+    pair_index = np.zeros((capacity + 1, capacity + 1), dtype=bool)
+    for x in np.flatnonzero(held).tolist():
+        rest = np.arange(1, min(x, capacity - x) + 1)
+        pair_index[x + rest, x] = held[rest]
+    pair_sum = pair_index.any(axis=1)
+    triple_index = np.zeros_like(pair_index)
+    for x in np.flatnonzero(held).tolist():
+        rest = np.arange(2, min(2 * x, capacity - x) + 1)  # the longest of three is at least a third
+        triple_index[x + rest, x] = pair_sum[rest]
+
+    def first_parts(index: np.ndarray, total: int, top: int) -> list[int]:
+        """Indexed first parts up to `top` still available, longest first."""
+        at = np.flatnonzero(index[total, : top + 1])
+        return at[avail[at] > 0][::-1].tolist()
+
+    def pairs(total: int, top: int, keep: list[int]) -> list[int] | None:
+        for x in first_parts(pair_index, total, top):
             parts = [*keep, x, total - x]
             if all(avail[p] >= parts.count(p) for p in set(parts)):
-                return x, total - x
+                return parts
+        return None
+
+    def triples(total: int, top: int, keep: list[int]) -> list[int] | None:
+        for x in first_parts(triple_index, total, top):
+            if found := pairs(total - x, x, [*keep, x]):
+                return found
         return None
 
-    held = np.flatnonzero(avail)
-    pair_sum = np.zeros(capacity + 1, dtype=bool)  # sums some pair may still have
-    for x in held.tolist():
-        s = held + x
-        pair_sum[s[s <= capacity]] = True
     for length in range(capacity - 1, 0, -1):
         gap = capacity - length
         while avail[length] > 0:
             if avail[gap] > 0 and consume([length, gap]):
                 continue
-            if pair_sum[gap] and (found := pairs(gap, length, [length])):
-                consume([length, *found])
-                continue
-            thirds = np.arange(min(length, gap - 2), 0, -1)
-            thirds = thirds[(avail[thirds] > 0) & pair_sum[gap - thirds]] if len(thirds) else thirds
-            triple = None
-            for x in thirds.tolist():
-                if x < (gap - x) // 2:
-                    break  # the longest of three is at least a third of the gap
-                if found := pairs(gap - x, x, [length, x]):
-                    triple = [length, x, *found]
-                    break
-            if not triple or not consume(triple):
+            found = pairs(gap, min(length, gap - 1), [length]) or triples(gap, min(length, gap - 1), [length])
+            if not found or not consume(found):
                 break
 
     # Residuals: open sequences with the same content form one class.
@@ -218,7 +240,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = placement_table(plan_patterns(hist, capacity))
     table = F.broadcast(spark.createDataFrame(rows, "l_length long, lo long, hi long, first long, per long, at long").coalesce(1))
     salts = max(211, sum(hist.values()) // RANK_GROUP_ROWS)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "deal"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
@@ -227,12 +249,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     here = (F.col("length") == F.col("l_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     k = F.col("rank") - F.col("lo")
     return ranked.join(table, here).select(
-        *pieces.columns,
+        *[c for c in pieces.columns if c != "deal"],
         (F.col("first") + F.floor(k / F.col("per"))).cast("long").alias("sequence_id"),
         (F.col("at") + (k % F.col("per")) * F.col("length")).cast("long").alias("offset"),
     )
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents with their place in sequences of `capacity`."""
+    """Pieces of all documents with their place in sequences of `capacity`.
+
+    Null and empty texts are the one id 0.  Null and repeated ids and repeated
+    rows are documents like any other; every row is packed.  Texts may be of
+    any length and hold blank runs of any length.  Pieces of one length are
+    alike, so which takes which place is decided by id, piece and place in the
+    input.  Other columns are ignored; an empty table gives an empty result.
+    """
     return pack(durable(token_pieces(docs, tokenizer_file, capacity, id_col, text_col)), capacity)
