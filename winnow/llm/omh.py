@@ -47,6 +47,7 @@ def kmers(text: Column) -> Column:
 
     def of(w: Column) -> Column:
         hashes = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(1))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b))
+        hashes = F.when(F.size(w) <= _MASK, hashes).otherwise(F.raise_error(F.lit(f"a text has over {_MASK} words")).cast("array<bigint>"))
         return F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS + 1), PLACE_BITS).bitwiseOR(i.cast("long"))))
 
     return _let(words, of)
@@ -123,25 +124,31 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n_chars, edited_sha256, fingerprint,
+    """One row per row of docs: id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 4) characters replaced by the
     first as many of the next document by id (after the last, the first).  Null
     text counts as empty.  Rows with a null id have no next document: their
-    end is cut off, and near_next is 0.  Ids are taken as unique.
+    end is cut off, and near_next is 0.  Where an id stands in several rows,
+    each of them gives a row, and its predecessor's next document is the row
+    whose text has the smallest hash, so repeated rows change nothing.  Texts
+    of over 2**27 words are an error.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    sized = base.where("id is not null").select("id", F.floor(F.length("t") / 4).alias("cut"))
-    links = durable(next_ids(base.select("id")).join(sized, "id"))
     known = base.where("id is not null")  # the same in both joins, so that texts are shuffled once
-    ends = known.join(links.select(F.col("next").alias("id"), F.col("id").alias("for_id"), "cut"), "id").select(F.col("for_id").alias("id"), F.expr("left(t, cut)").alias("tail"))
-    both = known.join(ends.join(links.select("id", "next"), "id"), "id").select("id", "next", "t", "tail")
+    sized = known.groupBy("id").agg(F.max(F.floor(F.length("t") / 4)).alias("cut"))
+    links = durable(next_ids(base.select("id")).join(sized, "id"))
+    ends = known.join(links.select(F.col("next").alias("id"), F.col("id").alias("for_id"), "cut"), "id")
+    tail = F.min(F.struct(F.xxhash64("t").alias("h"), F.expr("left(t, cut)").alias("tail")))
+    tails = ends.groupBy(F.col("for_id").alias("id")).agg(tail.alias("m")).select("id", F.col("m.tail").alias("tail"))
+    both = known.join(tails.join(links.select("id", "next"), "id"), "id").select("id", "next", "t", "tail")
     both = both.unionByName(base.where("id is null").select("id", F.lit(None).cast("long").alias("next"), "t", F.lit("").alias("tail")))
-    edited = F.concat(F.expr("left(t, length(t) - floor(length(t) / 4))"), F.coalesce("tail", F.lit("")))
+    edited = F.expr("concat(left(t, length(t) - floor(length(t) / 4)), left(tail, floor(length(t) / 4)))")
     texts = both.select("id", "next", "t", edited.alias("e"))
-    signed = durable(texts.select("id", "next", F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), signature(F.col("t")).alias("s"), signature(F.col("e")).alias("es")))
-    other = signed.select(F.col("id").alias("next"), F.col("s").alias("ns"))
+    signed = durable(texts.select("id", "next", F.xxhash64("t").alias("h"), F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), signature(F.col("t")).alias("s"), signature(F.col("e")).alias("es")))
+    one = signed.where("id is not null").groupBy("id").agg(F.min(F.struct("h", "s")).alias("m"))
+    other = one.select(F.col("id").alias("next"), F.col("m.s").alias("ns"))
     return signed.join(other, "next", "left").select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", shown(F.col("s")).alias("fingerprint"), shown(F.col("es")).alias("edited_fingerprint"),
         likeness(F.col("s"), F.col("es")).alias("near_edited"), likeness(F.col("s"), F.col("ns")).alias("near_next"),
