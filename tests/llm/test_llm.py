@@ -339,3 +339,79 @@ def test_too_many_languages(spark, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
     with pytest.raises(ValueError, match="languages"):
         langid.learn_prototypes(df)
+
+
+def test_encoder_long_runs():
+    """Runs of two million blanks, line ends and letters, in and around text, against the tokenizer."""
+    from tokenizers import Tokenizer
+
+    from winnow.llm.packing import LONG_BLANKS, Encoder
+
+    e, t = Encoder(f"{TOK}/byte_bpe_50k.json"), Tokenizer.from_file(f"{TOK}/byte_bpe_50k.json")
+    runs = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, " \n\t" * 700_000]
+    short = [" " * n + c for n in (LONG_BLANKS - 1, LONG_BLANKS, LONG_BLANKS + 1) for c in ("", "x", "!", "\n")]
+    for x in [*runs, runs[0] + "x", "say" + runs[1] + " the mill" + runs[3] + "!", "漢" + runs[0] + "x", *short, *(a + b for a in short[:5] for b in short[5:])]:
+        assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packing_rows(spark, rows):
+    """Every returned column against the tokenizer, with null and repeated ids and rows and a blank run of a million."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from winnow.llm.packing import best_fit_pack
+
+    t = Tokenizer.from_file(f"{TOK}/byte_bpe_50k.json")
+    data = [(k, x, "a", 1) for k, x, _ in rows] + [(None, "x y", "b", 2)] * 300 + [(3, "again", "c", 3)] * 2 + [(900, "a" + " " * 1_000_000 + "b", "d", 4)]
+    df = spark.createDataFrame(data, "doc_id long, text string, salt string, length int")
+    want = collections.Counter()
+    for k, x, _, _ in data:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        first = len(ids) - (-(-len(ids) // 2048) - 1) * 2048
+        edges = [0, *range(first, len(ids) + 1, 2048)]
+        for p, (lo, hi) in enumerate(zip(edges, edges[1:])):  # noqa: B905
+            want[k, p, lo, hi - lo, zlib.crc32(np.array(ids[lo:hi], "<u4").tobytes())] += 1
+    got = best_fit_pack(df, f"{TOK}/byte_bpe_50k.json").collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    from winnow.llm.omh import edited_fingerprints
+
+    data = [(1, "one two three four"), (2, "five six seven eight nine"), (2, "five six seven eight nine"), (2, "another text under this id"), (3, ""), (3, None), (None, "no id here at all"), (None, None)]
+    got = edited_fingerprints(spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS next", "2 AS tail", "3 AS t")).collect()
+    sizes = lambda x: collections.Counter(x)
+    assert sizes((r.doc_id, r.n_chars) for r in got) == sizes((k, len(t or "")) for k, t in data)
+    tails = {r.edited_sha256 for r in got if r.doc_id == 1}
+    assert len(tails) == 1 and tails <= {hashlib.sha256((data[0][1][:14] + t[:4]).encode()).hexdigest() for t in (data[1][1], data[3][1])}
+    assert {r.edited_sha256 for r in got if r.doc_id == 2} == {hashlib.sha256((t[: len(t) - len(t) // 4]).encode()).hexdigest() for t in (data[1][1], data[3][1])}
+    assert len({r.fingerprint for r in got if r.doc_id == 2}) == 2
+
+
+CLASH = ["text_", "t", "id", "row", "lang_pred", "score", "n_grams", "predicted", "host", "rule", "verdict", "hit_verdict", "best", "kept_", "gone_", "__text", "__kept", "__gone"]
+
+
+def test_clashing_columns(spark, rows):
+    """Columns of any name beside the needed ones change nothing."""
+    from winnow.llm.langid import learn_prototypes, predict_language
+    from winnow.llm.toxicity import Model, score_toxicity
+    from winnow.llm.urlfilter import RULES, judge_urls
+
+    df = spark.createDataFrame([(k, t, "en") for k, t, _ in rows], "doc_id long, text string, lang string")
+    wide = df.selectExpr("*", *[f"{k} AS `{c}`" for k, c in enumerate(CLASH)])
+    protos = learn_prototypes(wide)
+    for f in (lambda d: predict_language(d, protos).select("doc_id", "lang_pred", "score"), lambda d: score_toxicity(d, Model([], np.zeros(0), 0.5)).select("doc_id", "score", "predicted")):
+        assert sorted(f(wide).collect()) == sorted(f(df).collect())
+    assert {"text", "hit_verdict", "row"} <= set(score_toxicity(wide, Model([], np.zeros(0), 0.5)).columns)
+    pages = df.selectExpr("doc_id AS page_id", "concat('http://a.example.com/en/', doc_id) AS url").unionByName(spark.createDataFrame([(-1, None), (None, "")], "page_id long, url string"))
+    both = [judge_urls(d, RULES).select("page_id", "host", "path", "rule", "verdict") for d in (pages, pages.selectExpr("*", *[f"{k} AS `{c}`" for k, c in enumerate(CLASH)]))]
+    assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
+    none = judge_urls(pages.where("false"), RULES)
+    assert none.count() == 0 and none.columns == ["page_id", "url", "host", "path", "rule", "verdict"]

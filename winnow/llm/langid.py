@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.llm.textops import fresh
+from winnow.storage import spread
+
 DIM = 1024
 NGRAM = 3
 CACHED_GRAMS = 40_000
@@ -115,7 +118,7 @@ def learn_prototypes(rows: DataFrame, text: str = "text", lang: str = "lang") ->
         out = [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(out, names=["lang", "v"])
 
-    parts = rows.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(run, "lang string, v array<double>")
+    parts = spread(rows.select(F.col(text).alias("t"), F.col(lang).alias("l"))).mapInArrow(run, "lang string, v array<double>")
     each = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     found = each.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
@@ -152,7 +155,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text: s
             yield pa.RecordBatch.from_arrays([*cols, pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], names=out_names)
 
     added = ("lang_pred", "score", "n_grams")
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c.lower() not in added]
     out_names = [*kept, *added]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("n_grams", "long")
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double").add("n_grams", "long")
+    return spread(docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(fresh("text", kept)))).mapInArrow(run, schema)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.storage import spread
+
 MARK = "▁"
 GIANT = 256  # longer runs without a blank are scanned in chunks
 CHUNK = 128
@@ -244,4 +246,4 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
     names = ["id", "n_tokens", "ids_crc32", "round_trip", *(["ids"] if with_ids else [])]
     schema = "id long, n_tokens long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -73,3 +73,11 @@ def content_key(data: bytes) -> tuple[int, int]:
     """128 bits of a text's word sequence, as two signed 64-bit integers."""
     x = xxhash.xxh3_128_intdigest(b" ".join(data.split()))
     return ((x >> 64) ^ (1 << 63)) - (1 << 63), ((x & (1 << 64) - 1) ^ (1 << 63)) - (1 << 63)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with as many marks as keep it off the given columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.llm.textops import fresh
+from winnow.storage import durable, spread
+
 SAMPLE_ROWS = 12_000  # labelled rows the voters and the classifier are fitted on
 MAX_VOTERS = 256
 MIN_HITS = 8
@@ -159,7 +162,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold:
     """Adds score (0 to 1) and predicted (score >= threshold) to every row.
     A null or empty text has no vote and gets the score of such texts."""
     lexicon = frozenset(model.voters)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,5 +171,5 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold:
             more = [pa.array(got, pa.float64()), pa.array([int(s >= threshold) for s in got], pa.int32())]
             yield pa.RecordBatch.from_arrays([*cols, *more], names=[*kept, "score", "predicted"])
 
-    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer")
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", "double").add("predicted", "integer")
+    return spread(docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(fresh("text", kept)))).mapInArrow(run, schema)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow.llm.textops import fresh
+
 PREFIX_HEX = 8  # four bytes of the digest
 BROADCAST_RULES = 100_000  # rules beyond this are joined by shuffle
 
@@ -71,10 +73,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
         table = F.broadcast(table)
     best = F.max(F.struct("r_len", "r_hlen", "r_rule", "r_verdict")).alias("best")
     found = expanded.join(table, "short").where("digest = r_digest").groupBy("host", "path").agg(best)
-    hit = found.select("host", "path", F.col("best.r_rule").alias("rule"), F.col("best.r_verdict").alias("hit_verdict"))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parsed = parsed.select(*kept, "host", "path")
-    return parsed.join(hit, ["host", "path"], "left").select(*kept, "host", "path", "rule", F.coalesce("hit_verdict", F.lit(default)).alias("verdict"))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    hit_verdict = fresh("hit_verdict", kept)
+    hit = found.select("host", "path", F.col("best.r_rule").alias("rule"), F.col("best.r_verdict").alias(hit_verdict))
+    shown = [F.col(f"`{c}`") for c in kept]
+    parsed = parsed.select(*shown, "host", "path")
+    return parsed.join(hit, ["host", "path"], "left").select(*shown, "host", "path", "rule", F.coalesce(hit_verdict, F.lit(default)).alias("verdict"))
 
 
 ORACLE = """
