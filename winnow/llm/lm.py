@@ -90,6 +90,20 @@ def unsqueeze(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def packed(x: np.ndarray) -> bytes:
+    data = squeeze(x)
+    return b"z" + zlib.compress(data, 1) if len(data) > 64 else b" " + data
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return unsqueeze(zlib.decompress(data[1:]) if data[:1] == b"z" else data[1:], n)
+
+
+def range_floor(k: int, parts: int) -> np.uint64:
+    """The least hash of the k-th of `parts` (at most 2**32) ranges."""
+    return U(-(-(k << 32) // parts) << 32)
+
+
 def _texts(lot: pa.Table) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in lot.column("text").to_pylist()]
 
@@ -102,15 +116,12 @@ def list_grams(parts: int, order: int) -> Callable[[pa.Table], pa.Table]:
     def run(lot: pa.Table) -> pa.Table:
         keys, n = grams(_texts(lot), order)[:2]
         number = lot.column("lot")[0].as_py()
-        cuts = np.searchsorted(keys, np.array([(k << 64) // parts for k in range(1, parts)], U))
-        edges = [0, *cuts.tolist(), len(keys)]
+        part = (keys >> U(32)) * U(parts) >> U(32)
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))  # of the ranges that the lot has
         rows = []
-        for k in range(parts):
-            a, b = edges[k], edges[k + 1]
-            if a < b:
-                deltas = np.diff(keys[a:b], prepend=U(0))
-                deltas[0] = keys[a] - U((k << 64) // parts)
-                rows.append((number, k, b - a, squeeze(deltas), zlib.compress(squeeze(n[a:b]), 1)))
+        for k, a, b in zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+            deltas = np.diff(keys[a:b], prepend=range_floor(k, parts))
+            rows.append((number, k, b - a, squeeze(deltas), packed(n[a:b])))
         names = ["lot", "part", "size", "grams", "counts"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -121,16 +132,16 @@ def list_grams(parts: int, order: int) -> Callable[[pa.Table], pa.Table]:
 def answer(parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(lists: pa.Table) -> pa.Table:
         rows = lists.to_pylist()
-        floor = U((rows[0]["part"] << 64) // parts)
+        floor = range_floor(rows[0]["part"], parts)
         keys = [np.cumsum(unsqueeze(r["grams"], r["size"]), dtype=U) + floor for r in rows]
-        n = np.concatenate([unsqueeze(zlib.decompress(r["counts"]), r["size"]) for r in rows])
+        n = np.concatenate([unpacked(r["counts"], r["size"]) for r in rows])
         order = np.concatenate(keys).argsort(kind="stable")
         ranked = np.concatenate(keys)[order]
         first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
         totals = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(ranked))))
         back = np.empty_like(totals)
         back[order] = totals
-        blobs = [zlib.compress(squeeze(x), 1) for x in np.split(back, np.cumsum([r["size"] for r in rows])[:-1])]
+        blobs = [packed(x) for x in np.split(back, np.cumsum([r["size"] for r in rows])[:-1])]
         return lists.select(["lot", "part", "size"]).append_column("counts", pa.array(blobs, pa.binary()))
 
     return run
@@ -140,7 +151,7 @@ def score_lot(order: int, cutoff: int, id_type: pa.DataType) -> Callable[[pa.Tab
     def run(lot: pa.Table, answers: pa.Table) -> pa.Table:
         keys, _, doc, places = grams(_texts(lot), order)
         got = sorted(answers.to_pylist(), key=lambda r: r["part"])
-        counts = np.concatenate([unsqueeze(zlib.decompress(r["counts"]), r["size"]) for r in got]).astype(np.float64)
+        counts = np.concatenate([unpacked(r["counts"], r["size"]) for r in got]).astype(np.float64)
         if len(counts) != len(keys):
             raise ValueError("a lot's answers don't match its n-grams")
         lp = np.log(counts[places[0]] / max(counts[0], 1.0))
