@@ -7,7 +7,8 @@ each table and is also looked up in the `PROBES` next-best buckets.  Every pair
 that meets is verified by cosine in double precision.
 
 Identical vectors are collapsed first (with map-side combine) and only counted.
-A bucket is cut into blocks of at most `BLOCK` residents and queries; a task
+The number of hashes grows with the logarithm of the number of vectors, so that
+buckets of unlike vectors stay small.  A bucket is cut into blocks of at most `BLOCK` residents and queries; a task
 gets one pair of blocks, so no group is gathered whole.  A pair that meets more
 than once is counted only at its first meeting, which both vectors' codes tell,
 so no list of pairs is made: a block pair returns a link count per vector and a
@@ -16,6 +17,7 @@ spanning forest of its links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.components import connected_components
-from winnow.storage import durable
+from winnow.storage import durable, spread
 
 TABLES = 8
-HASHES = 2
+LEAST_HASHES = 2
+BUCKET = 32  # vectors that an average bucket may hold before one more hash is taken
 PROBES = 4  # buckets looked up in each table, the own one first
 BLOCK = 2000
 LOT = 50_000  # pairs compared at once
@@ -46,7 +49,14 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x.reshape(n, w)
 
 
-def codes(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> np.ndarray:
+def hashes_for(vectors: int, dim: int) -> int:
+    """Hashes of a table, so that its buckets hold at most BUCKET on average."""
+    axes = 2 * max(2, 1 << (dim - 1).bit_length())
+    most = max(LEAST_HASHES, 62 // (axes.bit_length() - 1))  # codes have 63 bits
+    return min(most, max(LEAST_HASHES, math.ceil(math.log(max(1, vectors / BUCKET), axes))))
+
+
+def codes(vectors: np.ndarray, tables: int = TABLES, hashes: int = LEAST_HASHES, probes: int = PROBES) -> np.ndarray:
     """(rows, tables, probes) bucket codes of unit vectors, the own one first."""
     n, d = vectors.shape
     w = max(2, 1 << (d - 1).bit_length())
@@ -83,10 +93,34 @@ def codes(vectors: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probe
     return out
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times the power of 2 that brings their largest component near 1,
+    so that no product leaves the range of doubles; cosines stay the same."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _pack(v: np.ndarray, codes: np.ndarray) -> list[bytes]:
+    """Vectors and their codes as bytes, in half the width where that is exact."""
+    with np.errstate(over="ignore", under="ignore"):
+        half = v.astype("<f4")
+    v = half if (half.astype(np.float64) == v).all() else v.astype("<f8")
+    codes = codes.astype("<i4") if codes.max() < 1 << 31 else codes.astype("<i8")
+    return [bytes([v.itemsize, codes.itemsize]) + a.tobytes() + b.tobytes() for a, b in zip(v, codes, strict=True)]
+
+
+def _unpack(blobs: pd.Series, dim: int, n_codes: int) -> tuple[np.ndarray, np.ndarray]:
+    out, codes = np.empty((len(blobs), dim)), np.empty((len(blobs), n_codes), np.int64)
+    for k, b in enumerate(blobs):
+        edge = 2 + dim * b[0]
+        out[k] = np.frombuffer(b, f"<f{b[0]}", dim, 2)
+        codes[k] = np.frombuffer(b, f"<i{b[1]}", n_codes, edge)
+    return out, codes
+
+
 def _meetings(home: np.ndarray, seek: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (seeker, resident) that share a cell, in bounded lots.
 
@@ -107,18 +141,19 @@ def _meetings(home: np.ndarray, seek: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 def _links(group: pd.DataFrame, least: float, tables: int, probes: int) -> pd.DataFrame:
     """Verified links of some block pairs: (id, links, root) per linked vector."""
+    return pd.concat([_links_of(part, int(dim), least, tables, probes) for dim, part in group.groupby("dim")])
+
+
+def _links_of(group: pd.DataFrame, dim: int, least: float, tables: int, probes: int) -> pd.DataFrame:
     empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
     group = group.sort_values("cell", kind="stable")
     home, seek = group[group.role == 0], group[group.role == 1]
     if not len(home) or not len(seek):
         return empty
-    hv, sv = (list(g.vec.to_numpy()) for g in (home, seek))
-    width = max(len(v) for v in hv)
-    # a cell has one dimension; others are padded, which changes no product
-    hv, sv = (np.array([np.pad(v[:width], (0, width - len(v[:width]))) if len(v) != width else v for v in x]) for x in (hv, sv))
+    (hv, hc), (sv, sc) = (_unpack(g.blob, dim, tables * probes) for g in (home, seek))
+    hc, sc = (c.reshape(-1, tables, probes) for c in (hc, sc))
     hn, sn = np.sqrt((hv * hv).sum(1)), np.sqrt((sv * sv).sum(1))
     hi, si, hm, sm = home.id.to_numpy(), seek.id.to_numpy(), home.members.to_numpy(), seek.members.to_numpy()
-    hc, sc = (np.stack(g.codes.to_numpy()).reshape(len(g), tables, probes) for g in (home, seek))
     tab = seek.tab.to_numpy()
     links: dict[int, int] = {}
     root: dict[int, int] = {}
@@ -151,15 +186,18 @@ def _links(group: pd.DataFrame, least: float, tables: int, probes: int) -> pd.Da
     return pd.DataFrame({"id": ids, "links": [links[x] for x in ids], "root": [find(x) for x in ids]})
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec: str = "embedding", group: str = "label", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec: str = "embedding", group: str = "label", tables: int = TABLES, hashes: int | None = None, probes: int = PROBES) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
     Only rows with the same non-null group value and the same dimension are
     compared.  Null or zero vectors and ones with a null or non-finite
     component link with nothing, as do rows with a null id.  n_links counts
     the other rows linked directly; component_id is the smallest id reachable;
-    kept marks the row that carries that id.  Ids are taken as unique; rows
-    that repeat an id and its vector count as identical vectors.
+    kept marks the row that carries that id.  Rows that repeat an id and its
+    vector count as identical vectors; ids are otherwise taken as unique.
+    Vectors of any finite size are compared, as they are scaled first.  hashes
+    is by default what `hashes_for` the distinct vectors says; an empty table
+    gives an empty result and other columns are ignored.
     """
     base = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"), F.col(group).alias("grp"))
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -169,16 +207,19 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     clean = good.where("usable").select("id", "grp", F.transform("vec", lambda x: x.cast("double") + F.lit(0.0)).alias("vec"))
     classes = durable(clean.groupBy("grp", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("members")))
 
+    distinct = {r["dim"]: r["n"] for r in classes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row per dimension
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             dims = pdf.vec.map(len)
-            for d in sorted(dims.unique()):
+            for d in sorted(map(int, dims.unique())):
                 part = pdf[dims == d]
-                got = codes(_unit(np.stack(part.vec.to_numpy())), tables, hashes, probes)
-                yield pd.DataFrame({"id": part.rep.to_numpy(), "grp": part.grp.astype(str).to_numpy(), "dim": d, "vec": part.vec.to_numpy(), "members": part.members.to_numpy(), "codes": list(got.reshape(len(part), -1))})
+                v = _scaled(np.stack(part.vec.to_numpy()))
+                got = codes(_unit(v), tables, hashes or hashes_for(distinct[d], d), probes).reshape(len(part), -1)
+                yield pd.DataFrame({"id": part.rep.to_numpy(), "grp": part.grp.astype(str).to_numpy(), "dim": d, "blob": _pack(v, got), "members": part.members.to_numpy(), "codes": list(got)})
 
-    schema = "id long, grp string, dim int, vec array<double>, members long, codes array<long>"
-    indexed = durable(classes.mapInPandas(index, schema))
+    schema = "id long, grp string, dim int, blob binary, members long, codes array<long>"
+    indexed = durable(spread(classes).mapInPandas(index, schema))
     # role 0: at home in the table's own bucket; role 1: looks into a probed one
     spots = F.flatten(F.array(*[F.array(*[F.struct(F.lit(t).alias("tab"), F.lit(int(p > 0)).alias("probe"), F.element_at("codes", t * probes + p + 1).alias("code")) for p in range(probes)]) for t in range(tables)]))
     seen = indexed.select("id", "grp", "dim", F.explode(spots).alias("s")).select("id", "grp", "dim", "s.tab", "s.code", "s.probe").distinct()
@@ -194,7 +235,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     cells = cells.select("id", *key, "role", F.when(F.col("role") == 0, F.col("own")).otherwise(F.col("other")).alias("cell_h"), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("own")).alias("cell_s"))
     cells = durable(cells.select("id", "tab", "role", F.xxhash64(*key, "cell_h", "cell_s").alias("cell")))
     parts = max(211, cells.count() // TASK_ROWS)
-    loaded = cells.join(indexed.select("id", "vec", "members", "codes"), "id").withColumn("part", F.pmod("cell", F.lit(parts)))
+    loaded = cells.join(indexed.select("id", "dim", "blob", "members"), "id").withColumn("part", F.pmod("cell", F.lit(parts)))
     found = durable(loaded.groupBy("part").applyInPandas(lambda g: _links(g, least, tables, probes), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("far"))
     comps = connected_components(found.select("id", "root"), "id", "root").select(F.col("id").alias("rep"), "component")
