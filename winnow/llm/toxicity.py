@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon words and word beginnings (patterns) found in a bounded
-sample of labelled rows.  A generative label model, fitted by EM, holds the
-rate at which each voter fires on either class, with the given label as one
-more noisy voter; voters that fire together within a class share their weight.
+sample of labelled rows.  A generative label model, fitted by EM from the
+voters' agreement, holds the rate at which each voter fires on either class and
+their correlations, both estimated anew in each round, with the given label as
+one more noisy voter; voters that fire together within a class share their say.
 Its posteriors train a linear classifier over the votes, which scores every
 whole text in one narrow pass.
 """
@@ -25,8 +26,9 @@ from winnow.storage import durable, spread
 
 SAMPLE_ROWS = 12_000  # labelled rows the voters and the classifier are fitted on
 MAX_VOTERS = 256
-MIN_HITS = 8
-MIN_LOG_ODDS = 2.5
+HIT_SHARE = 0.004  # of the positive rows: the least number that a voter stands in
+MIN_HITS = 3
+MIN_LOG_ODDS = 3.0
 PATTERN_LETTERS = 5
 THRESHOLD = 0.3
 
@@ -65,29 +67,35 @@ def shape(hits: int, words: int) -> np.ndarray:
     return np.array([hits >= 2, hits >= 3, min(hits, 8) / 8, min(1.0, 20 * hits / max(words, 1))], float)
 
 
-def label_model(fires: np.ndarray, given: np.ndarray, rounds: int = 20) -> np.ndarray:
+def label_model(fires: np.ndarray, given: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Posterior of the positive class for each row.
 
-    fires: rows x voters, 0 or 1; given: the label of each row.  Naive-Bayes EM
-    over the voters and the label; a voter's say is divided by one plus its
-    positive correlations with the others inside a class.
+    fires: rows x voters, 0 or 1; given: the label of each row, which is one
+    more voter and known to be right no better than any.  EM from the voters'
+    agreement: a row starts as positive as far as more than one speak for it.
+    Each round estimates from the posteriors how often each voter fires on
+    either class (its accuracy) and how voters go together inside the classes;
+    a voter's say is divided by one plus its positive correlations with the
+    others.  The label is no word of the text and shares its say with none; no
+    round looks at it in any other way.
     """
-    p = np.where(given > 0, 0.95, 0.05)
-    share = np.ones(fires.shape[1])
-    for k in range(rounds):
+    say = np.hstack([fires, given[:, None]])
+    many = say.sum(1)
+    p = np.select([many >= 3, many == 2, many == 1], [0.95, 0.8, 0.2], 0.02)
+    for _ in range(rounds):
         prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
-        rate1 = (p @ fires + 0.5) / (p.sum() + 1)
-        rate0 = ((1 - p) @ fires + 0.05) / ((1 - p).sum() + 1)
-        sure1, sure0 = (p @ given + 1) / (p.sum() + 2), ((1 - p) @ given + 1) / ((1 - p).sum() + 2)
-        if k == 0:
-            left = fires - np.outer(p, rate1) - np.outer(1 - p, rate0)
-            spread = np.sqrt((left**2).mean(0)) + 1e-9
-            corr = (left.T @ left) / len(left) / np.outer(spread, spread)
-            share = 1 / np.maximum(np.where(corr > 0.1, corr, 0).sum(0), 1)
-        on, off = np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))
-        z = np.log(prior / (1 - prior)) + fires @ (share * on) + (1 - fires) @ (share * off)
-        z += np.where(given > 0, np.log(sure1 / sure0), np.log((1 - sure1) / (1 - sure0)))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        rate1, rate0 = (p @ say + 0.5) / (p.sum() + 1), ((1 - p) @ say + 0.05) / ((1 - p).sum() + 1)
+        left = say - np.outer(p, rate1) - np.outer(1 - p, rate0)
+        spread = np.sqrt((left**2).mean(0)) + 1e-9
+        corr = (left.T @ left) / len(left) / np.outer(spread, spread)
+        share = 1 / np.maximum(np.where(corr > 0.1, corr, 0).sum(0), 1)
+        share[-1] = 1
+        on, off = share * np.log(rate1 / rate0), share * np.log((1 - rate1) / (1 - rate0))
+        z = np.log(prior / (1 - prior)) + say @ on + (1 - say) @ off
+        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        moved, p = np.abs(new - p).max(), new
+        if moved < 1e-4:
+            break
     return p
 
 
@@ -115,6 +123,7 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
     if n > sample_rows:  # keeps the smallest hashes; a few rows more or less than the bound times 0.98
         edge = int(-(2**63) + 2**64 * 0.98 * sample_rows / n)
         base = base.where(F.xxhash64("id", F.lit(11)) < edge)
+    base = durable(base)  # read three times
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos: Counter = Counter()
@@ -137,7 +146,7 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
         rate = min(max(n1 / max(n1 + n0, 1), 1e-9), 1 - 1e-9)
         return Model([], np.zeros(0), float(np.log(rate / (1 - rate))))
     odds = F.log((F.col("pos") + 0.5) / (n1 + 1)) - F.log((F.col("neg") + 0.5) / (n0 + 1))
-    top = sums.where(F.col("pos") >= MIN_HITS).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc("odds"), F.desc("pos"), "f").limit(MAX_VOTERS)
+    top = sums.where(F.col("pos") >= max(MIN_HITS, HIT_SHARE * n1)).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc("odds"), F.desc("pos"), "f").limit(MAX_VOTERS)
     voters = [r["f"] for r in top.collect()]
     lexicon = frozenset(voters)
 
