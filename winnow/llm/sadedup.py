@@ -13,11 +13,15 @@ each an exact refinement of the one before:
 2. Of anchors that occur with different texts, the earliest run of each text is
    cut by the distance to the anchor into runs of at most 17 windows, which
    share 84 bytes at least; these are compared likewise.
-3. Of the rest, single windows are compared.
+3. Of the rest, single windows are compared, by two independent hashes of 64
+   bits each.
 
 A level moves 32 bytes per run, in packed blocks per bucket of keys.  What
 repeats inside one batch is settled there, so a run that a third of all
-documents share reaches its bucket once a batch.
+documents share reaches its bucket once a batch.  Of an anchor that stands in
+many different texts, a batch sends its bucket HOT runs, enough to tell that
+there are several texts; its other runs pass to the next level at once, which
+finds whatever they share.
 """
 
 from __future__ import annotations
@@ -32,15 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.textops import U, mix, prefix_sums, span_hash
-from winnow.storage import durable
+from winnow.storage import durable, spread
 
 WINDOW = 100
 GRAM = 24
 STEP = 17
 SEGMENT = 1 << 23  # window starts handled at once; places in it take 24 bits
 BUCKET_CHARS = 4_000_000
+HOT = 8  # runs of one key that a batch sends to its bucket, 2 at least
 
-RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("at", "<u8")])  # at: start << 16 | distance to anchor << 8 | windows
+RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("at", "<u8")])  # at: tag of the text << 48 | start << 16 | distance to anchor << 8 | windows
 
 
 def anchor_runs(raw: np.ndarray) -> Iterator[np.ndarray]:
@@ -73,7 +78,7 @@ def _runs(key: np.ndarray, sums: np.ndarray, lo: np.ndarray, hi: np.ndarray, off
 
 
 def _split(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (at >> U(16)).astype(np.int64), (at >> U(8) & U(255)).astype(np.int64), (at & U(255)).astype(np.int64)
+    return (at >> U(16) & U(0xFFFFFFFF)).astype(np.int64), (at >> U(8) & U(255)).astype(np.int64), (at & U(255)).astype(np.int64)
 
 
 def short_runs(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
@@ -95,6 +100,7 @@ def single_windows(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     s = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     out = np.zeros(len(s), RUN)
     out["key"], out["at"] = span_hash(sums, s, s + WINDOW), s.astype(U) << U(16) | U(1)
+    out["ctx"] = span_hash(prefix_sums(raw, 1), s, s + WINDOW, 1)
     yield out
 
 
@@ -110,6 +116,9 @@ def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(runs: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     first, again = settle(np.concatenate(runs))
+    new = np.concatenate(([True], first["key"][1:] != first["key"][:-1])) if len(first) else np.zeros(0, bool)
+    nth = np.arange(len(first)) - np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
+    first, direct = first[nth < HOT], first[nth >= HOT]
     of = (first["key"] % U(buckets)).astype(np.int64)
     order = np.argsort(of, kind="stable")
     edges = np.searchsorted(of[order], np.arange(buckets + 1))
@@ -118,10 +127,11 @@ def _blocks(runs: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
         names.append(b)
         kinds.append(0)
         blobs.append(first[order[edges[b] : edges[b + 1]]].tobytes())
-    for k in range(0, len(again), 4096):  # settled: dealt anywhere
-        names.append(int(again["key"][k] % U(buckets)))
-        kinds.append(1)
-        blobs.append(again[k : k + 4096].tobytes())
+    for kind, known in ((1, again), (2, direct)):  # settled here: dealt anywhere
+        for k in range(0, len(known), 4096):
+            names.append(int(mix(mix(known["doc"][k : k + 1].view(U)) ^ known["at"][k : k + 1])[0] % U(buckets)))
+            kinds.append(kind)
+            blobs.append(known[k : k + 4096].tobytes())
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
 
 
@@ -131,9 +141,10 @@ def _make(level: Callable, buckets: int):
         for b in batches:
             for k in range(b.num_rows):
                 raw = np.frombuffer((b.column(1)[k].as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-                more = (np.array(b.column(2)[k].as_py(), np.int64).view(U),) if b.num_columns > 2 else ()
+                more = (np.array(b.column(3)[k].as_py(), np.int64).view(U),) if b.num_columns > 3 else ()
                 for got in level(raw, *more):
                     got["doc"] = b.column(0)[k].as_py()
+                    got["at"] |= U(b.column(2)[k].as_py()) << U(48)
                     held.append(got)
                     size += len(got)
                 if size >= 2_000_000:
@@ -153,22 +164,25 @@ def _settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     many[1:] |= first["key"][1:] == first["key"][:-1]
     many[:-1] |= first["key"][1:] == first["key"][:-1]
     again = np.concatenate([again, of(1)])
-    both = np.concatenate([again, first[many]])
-    kind = np.repeat([1, 2], [len(again), int(many.sum())])
+    more = np.concatenate([first[many], of(2)])
+    both = np.concatenate([again, more])
+    kind = np.repeat([1, 2], [len(again), len(more)])
     return pd.DataFrame({"kind": kind.astype(np.int32), "doc": both["doc"], "at": both["at"].view(np.int64)})
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc, at) of runs of windows that also start earlier; docs: (doc, t)."""
+    """(doc, tag, at) of runs of windows that also start earlier; docs: (doc, t,
+    tag of 16 bits, which tells texts under one id apart)."""
     total = docs.agg(F.sum(F.length("t"))).first()[0] or 0
     buckets = max(211, total // BUCKET_CHARS)
-    source, found = docs, []
+    source, found = spread(docs), []
+    tag = F.shiftrightunsigned("at", 48).cast("int").alias("tag")
     for level in (anchor_runs, short_runs, single_windows):
         blocks = source.mapInArrow(_make(level, buckets), "bucket int, kind int, blob binary")
         done = durable(blocks.groupBy("bucket").applyInPandas(_settle_bucket, "kind int, doc long, at long"))
-        found.append(done.where("kind = 1").select("doc", "at"))
-        rest = done.where("kind = 2").groupBy("doc").agg(F.collect_list("at").alias("runs"))  # at most a document's own
-        source = docs.join(rest, "doc").select("doc", "t", "runs")
+        found.append(done.where("kind = 1").select("doc", tag, "at"))
+        rest = done.where("kind = 2").groupBy("doc", tag).agg(F.collect_list("at").alias("runs"))  # at most a document's own
+        source = docs.join(rest, ["doc", "tag"]).select("doc", "t", "tag", "runs")
     return found[0].union(found[1]).union(found[2])
 
 
@@ -176,8 +190,8 @@ def cover(n: int, at: np.ndarray) -> np.ndarray:
     """Which of n bytes the windows of the runs cover."""
     lo, _, many = _split(at)
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, lo + many + WINDOW - 1, -1)
+    np.add.at(edge, np.minimum(lo, n), 1)
+    np.add.at(edge, np.minimum(lo + many + WINDOW - 1, n), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -186,11 +200,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     kept_text (remaining bytes; pieces of cut characters left out).
 
     Null text counts as empty.  Rows with a null id are neither searched nor
-    cut.  Ids are taken as unique; a row given twice does not repeat itself.
+    cut.  A row given twice does not repeat itself: both are cut alike.  Texts
+    under one id are told apart by a hash and come in its order.  Texts shorter
+    than a window have nothing to remove; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    base = base.withColumn("tag", F.shiftrightunsigned(F.xxhash64("t"), 48).cast("int"))
     runs = repeated_windows(base.where(f"doc is not null and octet_length(t) >= {WINDOW}"))
-    per_doc = runs.groupBy("doc").agg(F.collect_list("at").alias("runs"))
+    per_doc = runs.groupBy("doc", "tag").agg(F.collect_list("at").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,4 +227,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return base.join(per_doc, "doc", "left").select("doc", "t", "runs").mapInArrow(cut, schema)
+    return base.join(per_doc, ["doc", "tag"], "left").select("doc", "t", "runs").mapInArrow(cut, schema)

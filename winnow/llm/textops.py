@@ -10,7 +10,8 @@ BASE = U(0x9E3779B97F4A7C15 | 1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True  # words are runs of other bytes
 
-_POWERS = [np.ones(1, U), np.ones(1, U)]
+BASES = [BASE, U(0xD1B54A32D192ED03)]  # of two independent hashes
+_POWERS = [[np.ones(1, U), np.ones(1, U)] for _ in BASES]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,32 +21,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64, for i up to n at least."""
-    if len(_POWERS[0]) <= n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers and their inverses modulo 2**64, up to n at least."""
+    held = _POWERS[which]
+    if len(held[0]) <= n:
         size = max(1 << 16, 1 << n.bit_length())
-        inverse = U(pow(int(BASE), -1, 1 << 64))
-        for k, b in ((0, BASE), (1, inverse)):
+        inverse = U(pow(int(BASES[which]), -1, 1 << 64))
+        for k, b in ((0, BASES[which]), (1, inverse)):
             steps = np.full(size, b, U)
             steps[0] = U(1)
-            _POWERS[k] = np.cumprod(steps, dtype=U)
-    return _POWERS[0], _POWERS[1]
+            held[k] = np.cumprod(steps, dtype=U)
+    return held[0], held[1]
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
+def prefix_sums(raw: np.ndarray, which: int = 0) -> np.ndarray:
     """P with P[j] - P[i] the (shifted) polynomial hash of raw[i:j]."""
     out = np.zeros(len(raw) + 1, U)
     # bytes are spread over 64 bits first, so that short strings differ in all of them
-    np.cumsum(_SPREAD[raw] * powers(len(raw))[0][: len(raw)], out=out[1:], dtype=U)
+    np.cumsum(_SPREAD[which][raw] * powers(len(raw), which)[0][: len(raw)], out=out[1:], dtype=U)
     return out
 
 
-_SPREAD = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+_SPREAD = [mix(np.arange(1, 257, dtype=U) * c) for c in (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))]
 
 
-def span_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hashes of the substrings [lo, hi)."""
-    inv = powers(len(sums))[1]
+def span_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the substrings [lo, hi); sums are of the same base."""
+    inv = powers(len(sums), which)[1]
     return mix((sums[hi] - sums[lo]) * inv[lo] + (hi - lo).astype(U) * U(0xA24BAED4963EE407))
 
 
