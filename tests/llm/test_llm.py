@@ -415,3 +415,95 @@ def test_clashing_columns(spark, rows):
     assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
     none = judge_urls(pages.where("false"), RULES)
     assert none.count() == 0 and none.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+
+
+def test_label_model_outweighs_wrong_labels():
+    """Voters that agree win over labels of which a tenth are wrong."""
+    from winnow.llm.toxicity import label_model
+
+    rng = np.random.default_rng(4)
+    truth = rng.random(3000) < 0.2
+    fires = np.where(truth[:, None], rng.random((3000, 8)) < 0.5, rng.random((3000, 8)) < 0.02).astype(float)
+    given = np.where(rng.random(3000) < 0.1, ~truth, truth).astype(float)
+    found = label_model(fires, given) > 0.5
+    assert (found == truth).mean() > 0.97 > 0.92 > (given == truth).mean()
+
+
+def test_vectors_of_any_size(spark, empty):
+    """Components near the ends of doubles, several widths, an empty table and repeated rows."""
+    from winnow.llm.lsh import hashes_for, near_duplicate_vectors
+
+    rng = np.random.default_rng(5)
+    v, w = rng.normal(size=16), rng.normal(size=5)
+    data = [(1, (v).tolist(), 1), (2, (v * 1e300).tolist(), 1), (3, (v * 1e-300).tolist(), 1), (4, (-v).tolist(), 1), (5, (w).tolist(), 1), (6, (w * 2.5).tolist(), 1), (6, (w * 2.5).tolist(), 1), (7, [], 1), (None, (v).tolist(), 1), (8, [1.0, None], 1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS id", "2 AS codes")
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect())
+    assert got == [(-1, 0, None), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 2, 5), (6, 2, 5), (6, 2, 5), (7, 0, 7), (8, 0, 8)]
+    assert near_duplicate_vectors(df.where("false")).count() == 0
+    assert [hashes_for(n, 64) for n in (0, 10**4, 10**6, 10**9)] == [2, 2, 3, 4]
+
+
+def test_vector_recall(spark):
+    """At every number of hashes, of pairs at a cosine of exactly 0.98 nine in ten meet."""
+    from winnow.llm.lsh import _unit, codes
+
+    rng = np.random.default_rng(6)
+    for dim in (64, 300):
+        a = _unit(rng.normal(size=(500, dim)))
+        r = rng.normal(size=(500, dim))
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * _unit(r - (r * a).sum(1, keepdims=True) * a)
+        for hashes in (2, 3, 4, 5):
+            x, y = codes(a, hashes=hashes), codes(b, hashes=hashes)
+            assert ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any((1, 2)).mean() >= 0.95
+
+
+def test_repeated_strings_of_hot_anchors(spark, monkeypatch):
+    """One passage in hundreds of different texts, more than a batch sends to a bucket; texts under one id."""
+    from winnow.llm import sadedup
+
+    monkeypatch.setattr(sadedup, "HOT", 2)
+    rng = random.Random(11)
+    passage = text(rng, 30)
+    data = [(k, text(rng, rng.randrange(5, 40)) + " " + passage[rng.randrange(20) :] + " " + text(rng, 20)) for k in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r for r in sadedup.remove_repeats(df).collect()}
+    seen = set()
+    for i, t in data:
+        b = t.encode()
+        out = [False] * len(b)
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                out[s : s + 100] = [True] * 100
+            seen.add(b[s : s + 100])
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(out), hashlib.sha256(bytes(x for x, o in zip(b, out, strict=True) if not o)).hexdigest())
+    twice = spark.createDataFrame([(1, passage), (1, passage), (1, passage + " and more"), (1, None), (None, passage)], "doc_id long, text string").selectExpr("*", "1 AS tag", "2 AS runs")
+    rows = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in sadedup.remove_repeats(twice).collect())
+    n = len(passage.encode())
+    assert [r[:2] for r in rows] == [(-1, n), (1, 0), (1, n), (1, n), (1, n + 9)]
+    assert rows[0][2] == 0 and rows[2][2] == rows[3][2] and {rows[2][2], rows[4][2]} == {0, n}
+
+
+def test_near_duplicates_of_repeated_ids(spark, rows, monkeypatch):
+    """Null ids, repeated rows, an id with two texts, clashing columns, heavy weights and small blocks."""
+    from winnow.llm import dartminhash as d
+
+    monkeypatch.setattr(d, "BLOCK", 3)
+    a, b = rows[30][1], rows[31][1]
+    near = " ".join(w if k != 5 else "else" for k, w in enumerate((a + " " + a).split()))
+    heavy = "round and " * 4000
+    data = [(1, a + " " + a), (1, a + " " + a), (2, near), (3, b), (4, None), (5, ""), (None, a), (None, None), (6, a + " " + a), (6, b), (7, heavy), (8, heavy + "round about")]
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in d.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS band", "2 AS sig")).collect())
+    assert got == collections.Counter([(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (5, 4, False), (None, None, True), (None, None, True), (6, 1, False), (6, 3, False), (7, 7, True), (8, 7, False)])
+
+
+def test_dart_signatures_estimate_similarity():
+    from winnow.llm.dartminhash import K, signatures, similarity
+
+    rng = np.random.default_rng(8)
+    for n in (1, 40, 3000):
+        for top in (1, 50):
+            keys = np.sort(rng.integers(0, 1 << 63, n + n // 4 + 1).astype(np.uint64))
+            x, y = ((keys[s], rng.integers(1, top + 1, n).astype(np.int64)) for s in (slice(0, n), slice(len(keys) - n, None)))
+            a, b, c = signatures([x, y, x])
+            assert (a == c).all()
+            assert abs((a == b).mean() - similarity(x, y)) < 5 * np.sqrt(0.25 / K)
