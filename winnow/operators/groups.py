@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnow.storage import durable
+
 STRATEGIES = ["newest", "oldest", "largest", "smallest", "shortest", "longest", "first", "spread", "manual"]
 
 
@@ -27,11 +29,23 @@ def group_metrics(files: DataFrame, hardlinks: bool = True, strict_size: bool =
     )
 
 
+def ordinal(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Numbers rows from 1 inside each key by order.  Rows are dealt by range of
+    key and order and stored, numbered inside their range, and the numbers of
+    the ranges before are added, so neither all rows nor a key meets in a task."""
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
+    stored = durable(dealt)
+    counts = stored.groupBy("__part", *keys).agg(F.count("*").alias("__n"))  # a few rows per range
+    before = F.sum("__n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    base = counts.select("__part", *keys, F.coalesce(before, F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order))
+    placed = stored.withColumn("__inside", inside).join(base, ["__part", *keys])
+    return placed.select(*rows.columns, (F.col("__base") + F.col("__inside")).cast("bigint").alias(name))
+
+
 def numbered(groups: DataFrame) -> DataFrame:
-    """group_no by waste, largest first; a report's order, so one sorted task
-    over one row per group."""
-    w = Window.orderBy(F.desc("wasted_size"), "hash_key", "size")
-    return groups.withColumn("group_no", F.row_number().over(w).cast("bigint"))
+    """group_no by waste, largest first."""
+    return ordinal(groups, [], [F.desc("wasted_size"), F.asc("hash_key"), F.asc("size")], "group_no")
 
 
 def members(files: DataFrame) -> DataFrame:
@@ -66,7 +80,7 @@ def pick_keepers(rows: DataFrame, strategy: str, key: list[str] | None = None) -
 def pick_by_choice(rows: DataFrame, choices: DataFrame) -> DataFrame:
     """action from a table (hash_key, pick): the pick-th member (from 1, by
     ord) is kept; groups without a valid pick are skipped."""
-    sized = rows.withColumn("pos", F.row_number().over(Window.partitionBy("hash_key").orderBy("ord")).cast("bigint"))
+    sized = ordinal(rows, ["hash_key"], [F.asc("ord")], "pos")
     n = rows.groupBy("hash_key").agg(F.count("*").alias("__n"))
     valid = choices.join(n, "hash_key").where("pick between 1 and __n").select("hash_key", "pick")
     action = F.when(F.col("pick").isNull(), "skip").when(F.col("pos") == F.col("pick"), "keep").otherwise("delete")

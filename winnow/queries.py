@@ -4,7 +4,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from winnow.functions import scalars as S
 from winnow.operators import filters, fuzzy, groups, hashing
 from winnow.plans import report
+from winnow.storage import shared_dir
 
 CHUNK = 256
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,14 +229,22 @@ INODE = "CASE WHEN dev IS NOT NULL THEN dev || ':' || ino END"
 q("csv_rows", CTE + f'SELECT group_no AS "group", h AS hash, drive, path, mem.size, mtime, duration, is_video, {INODE} AS inode, has_hardlinks AS group_has_hardlinks FROM mem JOIN num ON h = hash_key')(lambda s, d: report.csv_rows(_hashed(s, d, True)))
 q("table_rows", CTE + "SELECT group_no, n, substr(drives, 1, 18) AS drives, " + SIZE_SQL.format(n="size") + " AS size_each, " + SIZE_SQL.format(n="wasted_size") + " AS wasted, substr((SELECT arg_min(path, ord) FROM mem WHERE h = hash_key), 1, 35) AS sample, CASE WHEN has_hardlinks THEN '*' ELSE '' END AS mark FROM num")(lambda s, d: report.table_rows(_hashed(s, d, True)))
 q("detailed_rows", CTE + 'SELECT group_no AS "group", substr(h, 1, 16) AS hash16, path, ' + SIZE_SQL.format(n="mem.size") + " AS size_text, strftime(make_timestamp(CAST(mtime * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M') AS modified, CASE WHEN duration > 0 THEN " + DUR_SQL.format(s="duration") + " ELSE '' END AS duration_text FROM mem JOIN num ON h = hash_key")(lambda s, d: report.detailed_rows(_hashed(s, d, True)))
-q("json_report", None)(lambda s, d: report.json_report(_hashed(s, d, True)))
 
 
-@q("walk_source", None)
+@q("json_report", CTE + f"SELECT group_no, row_number() OVER (PARTITION BY h ORDER BY ord) AS pos, path, mem.size, mtime, drive, h AS sha256, duration, is_video, {INODE} AS inode FROM mem JOIN num ON h = hash_key")
+def _json(s, d):
+    """The file lines of the JSON report, read back."""
+    fields = "path string, size bigint, mtime double, drive string, sha256 string, duration double, is_video boolean, inode string"
+    lines = report.json_lines(_hashed(s, d, True), "").where(F.col("line").startswith('{"path"'))
+    return lines.select("group_no", "pos", F.from_json(F.rtrim("line", F.lit(",")), fields).alias("f")).select("group_no", "pos", "f.*")
+
+
+@q("walk_source", "SELECT * FROM (VALUES ('a.txt', CAST(1 AS BIGINT)), ('.hidden', 1), ('empty', 0), ('sub/_u.bin', 1)) t(path, size)")
 def _walk(s, d):
     from winnow.sources.walk import scan
 
-    top = Path(tempfile.mkdtemp())
+    top = Path(shared_dir(s).removeprefix("file://")) / f"walk-{uuid.uuid4().hex}"  # executors see it too
+    top.mkdir(parents=True)
     for name, body in (("a.txt", "x"), (".hidden", "y"), ("empty", ""), ("sub/_u.bin", "z"), ("skip/gone.txt", "w")):
         (top / name).parent.mkdir(exist_ok=True)
         (top / name).write_text(body)

@@ -1,8 +1,4 @@
-"""Schemas of the engine's relations; always given, never inferred."""
+"""Schemas of stored relations; always given, never inferred."""
 
-SCAN = "path string, base_dir string, size bigint, mtime double, dev bigint, ino bigint, drive string"
-FILES = "ord bigint, path string, size bigint, mtime double, drive string, is_video boolean, duration double, dev bigint, ino bigint, partial_hash string, sha256 string"
 HASH_CACHE = "path string, size bigint, mtime double, sha256 string, duration double, verified boolean"
-PLAN = "hash_key string, path string, action string, bytes bigint, message string"
-CHOICES = "hash_key string, pick bigint"
-SCAN_ERRORS = "path string, error string"
+FRAMES = "array<struct<ts:double,h:bigint>>"

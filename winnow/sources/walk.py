@@ -16,7 +16,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "path string, base_dir string, size bigint, mtime double, dev bigint, ino bigint, error string"
+SCHEMA = "path string, base_dir string, size bigint, mtime double, dev bigint, ino bigint, drive string, error string"
+
+
+def mount_label(path: str, dev: int) -> str:
+    """The mount point that path lies under; the device number where there is
+    none on the way up."""
+    here = path
+    try:
+        while os.lstat(here).st_dev == dev:
+            if os.path.ismount(here):
+                return here
+            here = os.path.dirname(here)
+    except OSError:
+        pass
+    return f"dev{dev}"
 
 
 class _Reader(DataSourceReader):
@@ -33,6 +47,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition):
         root = partition.value
         failed: list[OSError] = []
+        labels: dict[int, str] = {}
         for top, dirs, names in os.walk(root, onerror=failed.append):
             below = lambda name, top=top: os.path.relpath(os.path.join(top, name), root).replace(os.sep, "/")
             dirs[:] = sorted(d for d in dirs if not self._skipped(below(d)))
@@ -44,9 +59,11 @@ class _Reader(DataSourceReader):
                     failed.append(e)
                     continue
                 if stat.S_ISREG(s.st_mode) and not self._skipped(below(name)):
-                    yield path, root, s.st_size, s.st_mtime, s.st_dev, s.st_ino, None
+                    if s.st_dev not in labels:
+                        labels[s.st_dev] = mount_label(top, s.st_dev)
+                    yield path, root, s.st_size, s.st_mtime, s.st_dev, s.st_ino, labels[s.st_dev], None
         for e in failed:
-            yield e.filename, root, None, None, None, None, e.strerror
+            yield e.filename, root, None, None, None, None, None, e.strerror
 
 
 class WalkSource(DataSource):
