@@ -507,3 +507,86 @@ def test_dart_signatures_estimate_similarity():
             a, b, c = signatures([x, y, x])
             assert (a == c).all()
             assert abs((a == b).mean() - similarity(x, y)) < 5 * np.sqrt(0.25 / K)
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Every stage's rows, one by one, over a table with planted toxic, foreign, copied and repeated
+    passages, nulls, repeated rows and clashing names."""
+    import corpus_pipeline as c
+    from winnow.llm import langid, toxicity
+    from winnow.llm.queries import labelled
+
+    sf = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 20000")
+    given = base.collect()
+    long_one = next(r for r in given if r.lang == "en" and len((r.text or "").split()) > 150)
+    passage = " ".join(long_one.text.split()[:70])
+    near = long_one.text.split()
+    near[20] = "altered"
+    junk = " ".join("".join(random.Random(k).choice("αβγδεζηθ") for _ in range(6)) for k in range(300))
+    planted = [(10**6, " ".join(near)), (10**6 + 1, junk), (10**6 + 2, "Quite another matter was told that day: " + passage), (10**6 + 3, None), (10**6 + 4, ""), (10**6 + 5, "12 34 !"), (None, "the old mill stands by the river and the men sing all day long")]
+    more = spark.createDataFrame([(k, t, "en", "src9", len(t or "")) for k, t in planted], base.schema)
+    docs = base.unionByName(more).selectExpr("*", "doc_id % 3 AS `row`", "1 AS kept", "2 AS n_removed", "3 AS kept_text", "4 AS text_", "5 AS `__kept`")
+    docs = docs.unionByName(docs.where("doc_id = 1000000")).cache()
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.text or "")
+    rows_of = lambda df: sorted(map(key, df.collect()))
+
+    model = toxicity.learn(labelled(spark, docs, sf))
+    first = c.toxicity(spark, docs, sf)
+    lexicon = frozenset(model.voters)
+    assert first.columns == docs.columns
+    assert rows_of(first) == sorted(key(r) for r in docs.collect() if model.score(*toxicity.votes(r.text, lexicon)) < toxicity.THRESHOLD)
+
+    protos = langid.learn_prototypes(docs.where(~c.held_out()).select("text", "lang"))
+    space, want = langid.Space(), []
+    for r in docs.collect():
+        codes, counts = np.unique(langid.gram_codes(r.text), return_counts=True)
+        if len(codes):
+            v = sum(int(n) * space.vector(int(x)).astype(np.int64) for x, n in zip(codes, counts, strict=True))
+            best = max(float(p @ v / np.linalg.norm(v)) for p in protos.values())
+            if best >= max(0.04, min(0.35, 0.04 + 0.002 * (len(codes) - 30))):
+                want.append(key(r))
+    second = c.language_id(spark, docs, sf)
+    assert second.columns == docs.columns and rows_of(second) == sorted(want)
+    gone = {k for k, _ in set(rows_of(docs)) - set(rows_of(second))}
+    assert {10**6 + 1, 10**6 + 3, 10**6 + 4, 10**6 + 5} <= gone and long_one.doc_id not in gone
+
+    third = c.minhash(spark, docs, sf)
+    sets = {}
+    for r in docs.where("doc_id is not null").collect():
+        w = (r.text or "").encode().split()
+        n = min(5, len(w))
+        sets[r.doc_id] = collections.Counter(tuple(w[j : j + n]) for j in range(len(w) - n + 1)) if w else collections.Counter([()])
+    root = {i: i for i in sets}
+    sizes = {i: sum(s.values()) for i, s in sets.items()}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) and root[a] != root[b]:
+                both = sum((sets[a] & sets[b]).values())
+                if both >= 0.8 * (sizes[a] + sizes[b] - both):
+                    x, y = sorted((root[a], root[b]))
+                    root = {i: x if r == y else r for i, r in root.items()}
+    assert sorted(k for k, _ in rows_of(third)) == [-1, *sorted(set(root.values()))]
+    assert root[10**6] == root[long_one.doc_id]
+
+    fourth = c.suffix_array(spark, third, sf)
+    seen, want = set(), []
+    for k, t in sorted(rows_of(third)):
+        b = t.encode()
+        out = np.zeros(len(b), bool)
+        for s in range(len(b) - 99) if k >= 0 else ():
+            if b[s : s + 100] in seen:
+                out[s : s + 100] = True
+            seen.add(b[s : s + 100])
+        want.append((k, np.frombuffer(b, np.uint8)[~out].tobytes().decode("utf-8", "ignore")))
+    assert fourth.columns == docs.columns and rows_of(fourth) == want
+    assert passage not in dict(want)[10**6 + 2] and all(r.n_chars == len(r.text) for r in fourth.where("doc_id = 1000002").collect())
+
+    last = c.packing(spark, fourth, sf)
+    from winnow.llm.packing import Encoder
+
+    e = Encoder(f"{TOK}/byte_bpe_50k.json")
+    assert {r.doc_id: r.n for r in last.groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect() if r.doc_id} == {k: len(e.encode(t)) // 4 + 1 for k, t in want if k > 0}
+    none = docs.where("false")
+    for _, stage in c.STAGES:
+        assert stage(spark, none, sf).count() == 0

@@ -34,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from winnow.llm.textops import U, mix, prefix_sums, span_hash
 from winnow.storage import durable, spread
@@ -195,18 +196,20 @@ def cover(n: int, at: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and
     kept_text (remaining bytes; pieces of cut characters left out).
 
     Null text counts as empty.  Rows with a null id are neither searched nor
     cut.  A row given twice does not repeat itself: both are cut alike.  Texts
     under one id are told apart by a hash and come in its order.  Texts shorter
-    than a window have nothing to remove; other columns are ignored.
+    than a window have nothing to remove.  Other columns are left out; carry
+    adds them all, without the text, as the struct `row`.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] if carry else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"), *row)
     base = base.withColumn("tag", F.shiftrightunsigned(F.xxhash64("t"), 48).cast("int"))
-    runs = repeated_windows(base.where(f"doc is not null and octet_length(t) >= {WINDOW}"))
+    runs = repeated_windows(base.where(f"doc is not null and octet_length(t) >= {WINDOW}").select("doc", "t", "tag"))
     per_doc = runs.groupBy("doc", "tag").agg(F.collect_list("at").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +226,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                 rows.append((len(data), gone, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made, *b.columns[3:]], names=[*names, *(["row"] if carry else [])])
 
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return base.join(per_doc, ["doc", "tag"], "left").select("doc", "t", "runs").mapInArrow(cut, schema)
+    joined = base.join(per_doc, ["doc", "tag"], "left").select("doc", "t", "runs", *(["row"] if carry else []))
+    whole = StructType.fromDDL(schema)
+    return joined.mapInArrow(cut, whole.add(joined.schema["row"]) if carry else whole)
