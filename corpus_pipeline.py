@@ -16,7 +16,7 @@ from winnow.llm.packing import best_fit_pack
 from winnow.llm.queries import TOKENIZER_DIR, held_out, labelled
 from winnow.llm.sadedup import remove_repeats
 from winnow.llm.toxicity import learn, score_toxicity
-from winnow.storage import durable
+from winnow.storage import lasting, scratch
 
 MIN_LANGUAGE_SCORE = 0.04  # of a text of few n-grams; clean texts of a single word lie above
 FEW_GRAMS = 30  # different ones; the floor rises with each further one
@@ -25,8 +25,8 @@ MAX_LANGUAGE_SCORE = 0.35  # of long texts; ones of a learned language lie above
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """Text and id beside the whole row, so that no column name can clash."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """The whole row as one column, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def language_floor(n_grams: Column) -> Column:
@@ -36,17 +36,19 @@ def language_floor(n_grams: Column) -> Column:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents predicted toxic; learns as op8 does."""
+    """Drops documents predicted toxic; learns as op8 does.  Null and empty
+    texts have no vote and stay, as do null ids; repeated rows are judged alike."""
     model = learn(labelled(spark, docs, sf_dir))
-    return score_toxicity(_carried(docs), model).where("predicted = 0").select("row.*")
+    return score_toxicity(_carried(docs), model, "row.text").where("predicted = 0").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and ones like no learned language;
-    where nothing can be learned, only the former."""
+    where nothing can be learned, only the former.  Null texts go; null ids and
+    repeated rows are judged like any other."""
     protos = learn_prototypes(docs.select("text", "lang").where(F.coalesce(~held_out(), F.lit(False))))
     floor = language_floor(F.col("n_grams")) if protos else F.lit(0.0)
-    judged = predict_language(_carried(docs), protos or {"any": learn_any()})
+    judged = predict_language(_carried(docs), protos or {"any": learn_any()}, "row.text")
     return judged.where(F.col("lang_pred") != UNKNOWN).where(F.col("score") >= floor).select("row.*")
 
 
@@ -68,15 +70,18 @@ def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated strings out of the texts; n_chars follows."""
-    cut = remove_repeats(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", F.col("kept_text").alias("__kept"), F.col("n_removed").alias("__gone"))
-    joined = docs.join(cut, "doc_id", "left")
-    changed = F.coalesce(F.col("__gone") > 0, F.lit(False))
-    new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    """Cuts repeated strings out of the texts; n_chars follows.  Every row
+    stays; null texts become empty, null ids are not cut, repeated rows are cut
+    alike."""
+    cut = remove_repeats(docs, carry=True)
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("kept_text"), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs every row into sequences of 2048 tokens, as op1 does; null and
+    empty texts are one token, an empty table gives an empty result."""
     return best_fit_pack(docs, f"{TOKENIZER_DIR}/byte_bpe_50k.json")
 
 
@@ -85,7 +90,10 @@ ORACLE_SQL = None  # no stage can be stated in SQL; tests/llm holds them against
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; tables that a stage writes for itself go once
+    its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        with scratch():
+            docs = lasting(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
