@@ -590,3 +590,51 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     none = docs.where("false")
     for _, stage in c.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_sentencepiece_scan_of_words_and_giants(rows):
+    """Paths of short words and of giants, over many chunks, have the best sum of a direct programme."""
+    from winnow.llm.spm import MARK, NONE, Pieces, prefixes, product
+
+    p = Pieces(f"{TOK}/piece_bpe_32k.model")
+    rng = random.Random(12)
+
+    def best(s):
+        most = [0.0] + [NONE] * len(s)
+        for j in range(1, len(s) + 1):
+            most[j] = max(most[i] + p._arc(s[i:j]) for i in range(max(0, j - p.longest), j))
+        return most[-1]
+
+    words = [MARK + w for w in {w for r in rows for w in (r[1] or "").split()} if len(w) < 40][:300] + [MARK + "漢字ü", "\U0001f600"]
+    p.cache.clear()
+    p._words(words)
+    for w in words:
+        ids, sums = np.frombuffer(p.cache[w], "<u4").tolist(), best(w)
+        assert p.decode(ids) == w.replace(MARK, " ")[1:] or MARK not in w
+        if not any(i in p.of_byte for i in ids):
+            assert abs(sum(p.score[p.text[i]] for i in ids) - sums) < 1e-9
+    giant = "".join(rng.choice("abcdefg.h1") for _ in range(5000))
+    path = p._giant(giant)
+    assert "".join(path) == giant and abs(sum(map(p._arc, path)) - best(giant)) < 1e-6
+    ms = [np.array([[rng.random() for _ in range(3)] for _ in range(3)]) for _ in range(13)]
+    one = ms[0]
+    for k, got in enumerate(prefixes(ms)):
+        one = product(one, ms[k]) if k else one
+        assert np.allclose(got, one)
+
+
+def test_sentencepiece_rows(spark, empty):
+    """Null and repeated ids and rows, a text of a megabyte without a blank, an empty table."""
+    import sentencepiece
+
+    from winnow.llm.spm import encode_documents
+
+    model = f"{TOK}/piece_bpe_32k.model"
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    rng = random.Random(13)
+    long_one = "".join(rng.choice("abcdefgh") for _ in range(1_000_000))
+    data = [(1, "the mill"), (1, "the mill"), (1, "other"), (None, "the mill"), (2, None), (3, ""), (4, long_one), (5, "the mill " * 50_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS t")
+    got = sorted((r.doc_id or -1, r.n_tokens, r.round_trip) for r in encode_documents(df, model, with_ids=False).collect())
+    assert got == sorted((k or -1, len(sp.encode(t or "")), True) for k, t in data)
+    assert encode_documents(empty, model).count() == 0

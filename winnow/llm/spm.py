@@ -71,6 +71,19 @@ def model_type(proto: bytes) -> int:
     return next((v for k, v in reversed([*fields(trainer)]) if k == 3), 1)
 
 
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus product: the best sums over two spans one after the other."""
+    return (a[:, :, None] + b[None]).max(1)
+
+
+def prefixes(matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """Products of the first 1, 2, ... matrices, combined in a tree."""
+    if len(matrices) < 2:
+        return matrices
+    pairs = prefixes([product(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)])
+    return [matrices[0], *(pairs[k // 2] if k % 2 else product(pairs[k // 2 - 1], matrices[k]) for k in range(1, len(matrices)))]
+
+
 class Pieces:
     def __init__(self, model_file: str):
         import sentencepiece
@@ -113,19 +126,17 @@ class Pieces:
                     better = new > most[:, j - lo]
                     most[better, j - lo] = new[better]
                     back[better, j - lo] = j - i
-        return most[:, hi - lo :], {"back": back, "lo": lo}
+        return most[:, hi - lo :].copy(), {"back": back, "lo": lo}
 
     def _giant(self, s: str) -> list[str]:
         cuts = [*range(0, len(s), CHUNK), len(s)]
         parts = [self.scan(s, lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False)]
         matrices = [m for m, _ in parts]
-        states, row = [0], np.full(self.longest, NONE)
-        row[0] = 0.0
-        rows = [row]
-        for m in matrices:  # prefix products; states at cuts from the end on
-            rows.append((rows[-1][:, None] + m).max(0))
+        start = np.full(self.longest, NONE)
+        start[0] = 0.0
+        rows = [start, *(p[0] for p in prefixes(matrices))]  # best sums at each cut, by state
         out = 0
-        states = [out]
+        states = [out]  # at cuts, from the end on
         for m, r in zip(reversed(matrices), reversed(rows[:-1]), strict=True):
             out = int(np.argmax(r + m[:, out]))
             states.append(out)
@@ -225,8 +236,12 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     """One row per document: id, n_tokens, ids_crc32 (little-endian unsigned
     32-bit ids), round_trip (decoding gives the text back) and ids.
 
-    Null and empty texts have no token.  A text's own block marks (U+2581)
-    come back as blanks, as is usual, so they make round_trip false.
+    Null and empty texts have no token; null and repeated ids and repeated rows
+    are encoded like any other, and an empty table gives an empty result.  Of
+    paths with equal sums the one whose last piece starts first is taken, of
+    equal merges the leftmost.  A text's own block marks (U+2581) come back as
+    blanks, as is usual, so they make round_trip false.  Other columns are
+    ignored.  A text must fit in a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
