@@ -118,13 +118,27 @@ def test_walk(spark, tmp_path):
     assert errors.count() == 0
 
 
-def test_entry_without_llm(spark):
+def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_entry_without_llm(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parents[1]
+    shutil.copytree(top / "winnow", tmp_path / "winnow", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert int(said[0]) >= 50 and said[1] == "False" and int(said[2]) >= 50
+
+
 FAKE_PROBE = """#!/usr/bin/env python3
 import sys
 name = sys.argv[-1].rsplit("/", 1)[-1]
