@@ -38,6 +38,7 @@ BANDS, ROWS = 32, 7  # a pair at 0.8 shares a band with a probability of 0.9995
 K = BANDS * ROWS
 BLOCK = 1000  # documents of a bucket in one block
 BLOCK_SHINGLES = 2_000_000  # and their different shingles
+SALTS = 64  # parts of a bucket, or the number of shuffle partitions if that is larger
 TASK_ROWS = 4000  # rows of several cells that one call gets
 TASK_SHINGLES = 4_000_000  # and their different shingles
 LOT = 64  # texts signed at once
@@ -297,8 +298,12 @@ def _class_components(base: DataFrame, signed: DataFrame, least: float) -> tuple
 
     start = buckets.join(comps, "id", "left").select("band", "id", "size", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("lead")).alias("led"))
     active = durable(unsettled(start).where("not led").drop("led"))
-    blocks = active.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    dealt = active.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    # a bucket's number of blocks reaches its members by the salts that they have, so that no task gets a whole bucket
+    salts = max(SALTS, int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = active.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(SALTS)), F.lit(salts)))
+    counted = salted.groupBy("band", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    blocks = counted.groupBy("band").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("nb"), F.collect_list("salt").alias("found"))
+    dealt = salted.join(blocks.select("band", "nb", F.explode("found").alias("salt")), ["band", "salt"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     cell = F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("cell")
     cells = durable(dealt.select(cell, "id", "component", "own", (F.col("own") == F.col("other")).alias("inside"), "size"))
 
