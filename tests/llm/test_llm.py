@@ -457,6 +457,27 @@ def test_vector_recall(spark):
             assert ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any((1, 2)).mean() >= 0.95
 
 
+def test_vector_recall_with_a_last_hash(spark):
+    """Likewise at every width of a last hash over some of the axes, which cuts buckets evenly."""
+    from winnow.llm.lsh import LOAD, _sides, _unit, codes, hashes_for, last_axes
+
+    rng = np.random.default_rng(7)
+    for dim in (5, 64, 300):
+        for n in (0, 1, 10**3, 10**4, 5 * 10**4, 10**7, 10**10):
+            hashes = hashes_for(n, dim)
+            last = last_axes(n, dim, hashes)
+            buckets = _sides(dim) ** hashes * max(1, 2 * last)
+            assert buckets < 2**62 and (buckets >= n / LOAD or 2 * last == _sides(dim) or buckets * 2 > 2**61)
+            assert last == 0 or buckets <= 2 * n / LOAD
+        a = _unit(rng.normal(size=(500, dim)))
+        r = rng.normal(size=(500, dim))
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * _unit(r - (r * a).sum(1, keepdims=True) * a)
+        for hashes, last in ((2, 1), (2, 2), (2, 4), (2, 8), (3, 1), (3, 4)):
+            x, y = codes(a, hashes=hashes, last=last), codes(b, hashes=hashes, last=last)
+            assert ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any((1, 2)).mean() >= 0.95
+            assert len(np.unique(x[:, 0, 0])) >= len(np.unique(codes(a, hashes=hashes)[:, 0, 0]))
+
+
 def test_repeated_strings_of_hot_anchors(spark, monkeypatch):
     """One passage in hundreds of different texts, more than a batch sends to a bucket; texts under one id."""
     from winnow.llm import sadedup

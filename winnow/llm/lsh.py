@@ -7,8 +7,9 @@ each table and is also looked up in the `PROBES` next-best buckets.  Every pair
 that meets is verified by cosine in double precision.
 
 Identical vectors are collapsed first (with map-side combine) and only counted.
-The number of hashes grows with the logarithm of the number of vectors, so that
-buckets of unlike vectors stay small.  A bucket is cut into blocks of at most `BLOCK` residents and queries; a task
+The number of hashes grows with the logarithm of the number of vectors, and a
+last hash over a few axes only takes up the rest, so that buckets of unlike
+vectors stay equally small at every number.  A bucket is cut into blocks of at most `BLOCK` residents and queries; a task
 gets one pair of blocks, so no group is gathered whole.  A pair that meets more
 than once is counted only at its first meeting, which both vectors' codes tell,
 so no list of pairs is made: a block pair returns a link count per vector and a
@@ -31,6 +32,7 @@ from winnow.storage import durable, spread
 TABLES = 8
 LEAST_HASHES = 2
 BUCKET = 32  # vectors that an average bucket may hold before one more hash is taken
+LOAD = 0.5  # vectors in an average bucket once the last hash has cut it
 PROBES = 4  # buckets looked up in each table, the own one first
 BLOCK = 2000
 LOT = 50_000  # pairs compared at once
@@ -50,28 +52,47 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def hashes_for(vectors: int, dim: int) -> int:
-    """Hashes of a table, so that its buckets hold at most BUCKET on average."""
-    axes = 2 * max(2, 1 << (dim - 1).bit_length())
-    most = max(LEAST_HASHES, 62 // (axes.bit_length() - 1))  # codes have 63 bits
-    return min(most, max(LEAST_HASHES, math.ceil(math.log(max(1, vectors / BUCKET), axes))))
+    """Whole hashes of a table, so that its buckets hold at most BUCKET on average."""
+    sides = _sides(dim)
+    most = max(LEAST_HASHES, 62 // (sides.bit_length() - 1))  # codes have 63 bits
+    return min(most, max(LEAST_HASHES, math.ceil(math.log(max(1, vectors / BUCKET), sides))))
 
 
-def codes(vectors: np.ndarray, tables: int = TABLES, hashes: int = LEAST_HASHES, probes: int = PROBES) -> np.ndarray:
-    """(rows, tables, probes) bucket codes of unit vectors, the own one first."""
+def last_axes(vectors: int, dim: int, hashes: int) -> int:
+    """Axes of the last hash, a power of 2, that bring an average bucket down to
+    LOAD vectors; 0 where the whole hashes do or codes have no room."""
+    sides = _sides(dim)
+    cut = vectors / LOAD / sides**hashes
+    room = 62 - hashes * (sides.bit_length() - 1)
+    bits = min(math.ceil(math.log2(max(1, cut))), sides.bit_length() - 1, room)
+    return 1 << (bits - 1) if bits > 0 else 0
+
+
+def _sides(dim: int) -> int:
+    """Signed axes of a hash over whole vectors."""
+    return 2 * max(2, 1 << (dim - 1).bit_length())
+
+
+def codes(vectors: np.ndarray, tables: int = TABLES, hashes: int = LEAST_HASHES, probes: int = PROBES, last: int = 0) -> np.ndarray:
+    """(rows, tables, probes) bucket codes of unit vectors, the own one first;
+    last is the number of axes of one more hash, if any."""
     n, d = vectors.shape
-    w = max(2, 1 << (d - 1).bit_length())
+    w = _sides(d) // 2
+    widths = [w] * hashes + ([last] if last else [])
+    scale = [2 ** sum(x.bit_length() for x in widths[h + 1 :]) for h in range(len(widths))]  # of each hash in the code
     padded = np.zeros((n, w))
     padded[:, :d] = vectors
     out = np.empty((n, tables, probes), np.int64)
     rows = np.arange(n)
     for t in range(tables):
         parts, second, lost = [], [], []
-        for h in range(hashes):
+        for h, width in enumerate(widths):
             rng = np.random.Generator(np.random.Philox(key=[SEED + 1000 * t + h, w]))
             x = padded
             for _ in range(3):
                 x = _hadamard(x * (rng.integers(0, 2, w) * 2.0 - 1)) / np.sqrt(w)
-            top = min(3, w)
+            x = x[:, :width]
+            top = min(3, width)
             axes = np.argpartition(-np.abs(x), top - 1, axis=1)[:, :top]
             order = np.argsort(-np.abs(np.take_along_axis(x, axes, 1)), axis=1, kind="stable")
             axes = np.take_along_axis(axes, order, 1)
@@ -81,13 +102,11 @@ def codes(vectors: np.ndarray, tables: int = TABLES, hashes: int = LEAST_HASHES,
             for k in range(1, top):
                 second.append((h, code[:, k]))
                 lost.append(np.abs(value[:, 0]) - np.abs(value[:, k]))
-        own = np.zeros(n, np.int64)
-        for p in parts:
-            own = own * (2 * w) + p
+        own = sum(p * by for p, by in zip(parts, scale, strict=True))
         out[:, t, :] = own[:, None]
         # the next-best buckets change one hash, least lost closeness first
         by_loss = np.argsort(np.stack(lost, 1), axis=1, kind="stable")
-        alts = np.stack([own + (code - parts[h]) * (2 * w) ** (hashes - 1 - h) for h, code in second], 1)
+        alts = np.stack([own + (code - parts[h]) * scale[h] for h, code in second], 1)
         for k in range(1, probes):
             out[:, t, k] = alts[rows, by_loss[:, min(k, alts.shape[1]) - 1]]
     return out
@@ -196,7 +215,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     kept marks the row that carries that id.  Rows that repeat an id and its
     vector count as identical vectors; ids are otherwise taken as unique.
     Vectors of any finite size are compared, as they are scaled first.  hashes
-    is by default what `hashes_for` the distinct vectors says; an empty table
+    is by default what `hashes_for` and `last_axes` say for the distinct vectors;
+    where given, there is no last hash.  An empty table
     gives an empty result and other columns are ignored.
     """
     base = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"), F.col(group).alias("grp"))
@@ -215,7 +235,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
             for d in sorted(map(int, dims.unique())):
                 part = pdf[dims == d]
                 v = _scaled(np.stack(part.vec.to_numpy()))
-                got = codes(_unit(v), tables, hashes or hashes_for(distinct[d], d), probes).reshape(len(part), -1)
+                whole = hashes or hashes_for(distinct[d], d)
+                got = codes(_unit(v), tables, whole, probes, 0 if hashes else last_axes(distinct[d], d, whole)).reshape(len(part), -1)
                 yield pd.DataFrame({"id": part.rep.to_numpy(), "grp": part.grp.astype(str).to_numpy(), "dim": d, "blob": _pack(v, got), "members": part.members.to_numpy(), "codes": list(got)})
 
     schema = "id long, grp string, dim int, blob binary, members long, codes array<long>"
