@@ -80,6 +80,53 @@ def test_band_join_equals_naive(spark):
         assert {tuple(r) for r in fuzzy.candidate_pairs(v, tol, ratio).collect()} == want
 
 
+def test_near_hashes_equal_brute_force(spark):
+    rng = random.Random(8)
+    flip = lambda h, k: h ^ sum(1 << i for i in rng.sample(range(64), k))
+    seeds = [rng.getrandbits(64) for _ in range(6)] + [0, 2**64 - 1, 2**63]
+    all_ = {h - 2**64 if h >> 63 else h for s in seeds for h in [s] + [flip(s, rng.randrange(17)) for _ in range(12)]}
+    table = spark.createDataFrame([(h,) for h in all_], "h long")
+    apart = {(x, y): ((x ^ y) & (2**64 - 1)).bit_count() for x in all_ for y in all_ if x < y}
+    for radius in (0, 1, 2, 3, 7, 10, fuzzy.WIDEST):
+        assert sorted(map(tuple, fuzzy.near_hashes(table, radius).collect())) == sorted(p for p, d in apart.items() if d <= radius), radius
+
+
+def test_matched_videos_equal_all_pairs(spark):
+    rng = random.Random(9)
+    base = [[rng.getrandbits(64) - 2**63 for _ in range(rng.randrange(1, 6))] for _ in range(8)]
+    rows = []
+    for k in range(160):
+        hs = list(rng.choice(base))
+        for i in range(len(hs)):
+            for bit in rng.sample(range(63), rng.choice([0, 0, 1, 4, 9, 14])):
+                hs[i] ^= 1 << bit
+        if k % 4 == 1:
+            hs = hs[1:]  # may be empty
+        if k % 9 == 2:
+            hs.append(hs[0])
+        if k % 20 == 3:
+            hs.reverse()
+        rows.append((k, rng.choice([6.0, 6.0, 9.0, 9.5, 20.0, 31.0]), [(float(i), h) for i, h in enumerate(hs)]))
+    twins = [(200 + k, rng.choice([d, d, 9.0]), f) for k, (_, d, f) in enumerate(rows[:40])] + [(400 + k, d, f) for k, (_, d, f) in enumerate(rows[:40])]
+    odd = [(900, None, rows[0][2]), (901, 0.0, rows[0][2]), (902, 9.0, None), (903, 9.0, []), (904, 9.0, [(0.0, None), *rows[0][2]]), (905, 9.0, [(0.0, None)])]
+    loop = [(910 + k, 9.0, [(0.0, 5), (1.0, 7 << 40), (2.0, 5)]) for k in range(3)]  # not like itself: no order
+    v = spark.createDataFrame(rows + twins + odd + loop, "ord long, duration double, frames array<struct<ts: double, h: long>>").cache()
+    full = lambda df: sorted(tuple(r) for r in df.collect())
+    for tol, ratio, threshold, monotone in ((5, 0.5, 10, 0.7), (2, 0.0, 10, 0.0), (0, 0.0, 0, 0.7), (5, 0.5, 3.5, 1.0), (5, 0.5, 14.9, 0.7), (5, 0.5, 22, 0.7)):
+        want = full(fuzzy.match_pairs(fuzzy.candidate_pairs(v, tol, ratio), v, threshold=threshold, least_monotone=monotone))
+        assert want and full(fuzzy.match_videos(v, tol, ratio, threshold, monotone)) == want
+    assert not fuzzy.match_videos(v.limit(0), 5, 0.5).count() and not fuzzy.match_videos(v, 5, 0.5, -1).count()
+
+
+@pytest.mark.parametrize("name", ["fp_aligned", "fuzzy_components", "fuzzy_groups", "fuzzy_clean_plan"])
+def test_matches_without_all_pairs(spark, monkeypatch, name):
+    def pairs(*_):
+        raise AssertionError("every pair of videos of like durations is made")
+
+    monkeypatch.setattr(fuzzy, "candidate_pairs", pairs)
+    assert Q.Q[name](spark, SF).count() > 0
+
+
 def test_keepers_ties_and_partition(spark):
     rows = [("h", 4, k, m, d, "x" if k % 2 else "") for k, m, d in ((1, 5.0, None), (2, 5.0, 3.0), (3, 4.0, 3.0), (4, 4.0, 9.0))]
     df = spark.createDataFrame(rows, "hash_key string, size long, ord long, mtime double, duration double, drive string")

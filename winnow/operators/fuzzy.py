@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from winnow.functions.scalars import hamming_bits, similarity
 from winnow.operators.components import connected_components
+from winnow.storage import durable
+
+#: Up to this many bits bands of a hash tell near hashes from others; beyond it nearly every pair meets in one.
+WIDEST = 14
 
 
 def _banded(v: DataFrame, pick: Column, bucket: Column, allowed: Column) -> DataFrame:
@@ -70,6 +74,81 @@ def match_pairs(pairs: DataFrame, prints: DataFrame, mode: str = "aligned", thre
     return out.select("a", "b", "m.avg_dist", "m.monotone", similarity(F.col("m.avg_dist")).alias("similarity"), "m.est_offset")
 
 
+def _bands(radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, reach) of bands of 64 bits: two hashes at most
+    `radius` bits apart differ by at most `reach` <= 2 bits in one of them, as
+    reach + 1 over all bands makes radius + 1."""
+    n = -(-(radius + 1) // 3)
+    at = [64 * k // n for k in range(n + 1)]
+    return [(at[k], at[k + 1] - at[k], (radius + 1) // n + (k < (radius + 1) % n) - 1) for k in range(n)]
+
+
+def _band(h: Column, j: int, first: int, bits: int) -> Column:
+    """Band j of a hash, unlike any value of another band."""
+    v = F.shiftrightunsigned(h, first).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))
+    return v.bitwiseOR(F.lit(j << 32)) if j else v
+
+
+def near_hashes(hashes: DataFrame, radius: int) -> DataFrame:
+    """Pairs x < y of different 64-bit hashes (column h, distinct) at most
+    `radius` <= WIDEST bits apart, every one once.
+
+    Hashes are dealt by their bands: x goes to its own value and those one bit
+    off, y too where a band may differ by 2 bits.  Of the places where a pair
+    meets one counts: in the first band that is near enough y's value or, 2
+    bits apart, x's with the lower bit of y.
+    """
+    bands = _bands(radius)
+    spark = hashes.sparkSession
+    hashes = hashes.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # small rows that become many
+    bit = lambda k: (1 << k) - (1 << 64 if k == 63 else 0)
+
+    def keys(h: Column, own: int) -> Column:
+        out = []
+        for j, (first, bits, reach) in enumerate(bands):
+            v = _band(h, j, first, bits)
+            out += [v] + ([v.bitwiseXOR(F.lit(bit(k))) for k in range(bits)] if reach >= own else [])
+        return F.explode(F.array(*out)).alias("k")
+
+    x = hashes.select(F.col("h").alias("x"), keys(F.col("h"), 1))
+    y = hashes.select(F.col("h").alias("y"), keys(F.col("h"), 2))
+    here = F.lit(False)
+    for j, (first, bits, reach) in reversed(list(enumerate(bands))):
+        bx, by = _band(F.col("x"), j, first, bits), _band(F.col("y"), j, first, bits)
+        diff = bx.bitwiseXOR(by)
+        place = F.when(F.bit_count(diff) == 2, bx.bitwiseXOR(diff.bitwiseAND(-diff))).otherwise(by)
+        here = F.when(F.bit_count(diff) <= reach, F.col("k") == place).otherwise(here)
+    near = (F.col("x") < F.col("y")) & (hamming_bits(F.col("x"), F.col("y")) <= radius)
+    return x.join(y, "k").where(near & here).select("x", "y")
+
+
+def match_videos(videos: DataFrame, tolerance: float, ratio: float = 0.0, threshold: float = 10, least_monotone: float = 0.7) -> DataFrame:
+    """match_pairs (aligned) over all candidate_pairs of videos (ord, duration,
+    frames), without making them; ord is unique.
+
+    A mean of at most `threshold` has a frame at most as far from one of the
+    other video, so only fingerprints that share near hashes are compared,
+    equal ones once; a threshold beyond WIDEST takes all pairs.
+    """
+    v = durable(videos.where("duration > 0 and size(frames) > 0").select("ord", "duration", "frames"))
+    if not 0 <= threshold < WIDEST + 1:
+        return match_pairs(candidate_pairs(v, tolerance, ratio), v, threshold=threshold, least_monotone=least_monotone)
+    gap = lambda d: F.greatest(F.lit(float(tolerance)), d * float(ratio))
+    prints = durable(v.groupBy("frames").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.min("duration").alias("lo"), F.max("duration").alias("hi")))
+    at = durable(prints.select(F.struct("ord", "n", "lo", "hi").alias("p"), F.explode(F.array_distinct("frames.h")).alias("x")).where("x is not null"))
+    other = at.toDF("q", "y")
+    near = at.join(near_hashes(at.select(F.col("x").alias("h")).distinct(), math.floor(threshold)), "x").join(other, "y")
+    near = near.select(F.inline(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q")))))
+    both = near.union(at.join(other, F.col("x") == F.col("y")).select("p", "q"))
+    timely = (F.col("p.lo") <= F.col("q.hi")) & (F.col("q.lo") - F.col("p.hi") <= gap(F.col("p.hi")))
+    pairs = both.where(timely & ((F.col("p.ord") != F.col("q.ord")) | (F.col("p.n") > 1))).select(F.col("p.ord").alias("a"), F.col("q.ord").alias("b")).distinct()
+    same = match_pairs(pairs, prints, threshold=threshold, least_monotone=least_monotone)
+    members = v.join(prints.select("frames", F.col("ord").alias("print")), "frames").select("print", F.struct("duration", "ord").alias("v"))
+    found = same.join(members.toDF("a", "va"), "a").join(members.toDF("b", "vb"), "b")
+    found = found.where((F.col("va") < F.col("vb")) & (F.col("vb.duration") - F.col("va.duration") <= gap(F.col("va.duration"))))
+    return found.select(F.col("va.ord").alias("a"), F.col("vb.ord").alias("b"), "avg_dist", "monotone", "similarity", "est_offset")
+
+
 def fuzzy_members(matches: DataFrame) -> DataFrame:
     return connected_components(matches, "a", "b").select(F.col("id").alias("ord"), "component")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from winnow.functions import scalars as S
 from winnow.operators import filters, fuzzy, groups, hashing
 from winnow.plans import report
-from winnow.storage import shared_dir
+from winnow.storage import durable, shared_dir
 
 CHUNK = 256
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,8 +200,7 @@ q("fp_positional", V + "SELECT a, b, round(avg(bit_count(xor(x.h, y.h))), 6) AS
 
 
 def _matches(s, d):
-    v = videos(s, d)
-    return fuzzy.match_pairs(fuzzy.candidate_pairs(v, 5, 0.5), v)
+    return fuzzy.match_videos(videos(s, d), 5, 0.5)
 
 
 q("fp_aligned", V + "SELECT a, b, round(avg_dist, 6) AS avg_dist, round(monotone, 6) AS monotone, round(sim, 6) AS similarity, round(est_offset, 6) AS est_offset FROM edges")(
@@ -212,7 +211,7 @@ q("fuzzy_components", V + "SELECT ord, component FROM comp")(lambda s, d: fuzzy.
 @q("fuzzy_groups", V + """SELECT c.component, count(*) AS n, CAST(sum(size) AS BIGINT) AS total_size, CAST(sum(size) - max(size) AS BIGINT) AS wasted_size, round(max(duration) - min(duration), 6) AS duration_spread,
 string_agg(DISTINCT drive, ', ' ORDER BY drive) AS drives, round(min(s.similarity), 6) AS similarity FROM comp c JOIN videos USING (ord) JOIN (SELECT component, avg(sim) AS similarity FROM edges JOIN comp ON ord = a GROUP BY component) s ON s.component = c.component GROUP BY c.component""")
 def _groups(s, d):
-    m = _matches(s, d)
+    m = durable(_matches(s, d))
     g = fuzzy.fuzzy_groups(m, videos(s, d), fuzzy.fuzzy_members(m))
     return g.withColumns({c: F.round(c, 6) for c in ("duration_spread", "similarity")})
 
