@@ -61,6 +61,13 @@ def aligned(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.struct(mean(lambda x: x.d, F.lit(0)).alias("avg_dist"), monotone.alias("monotone"), mean(lambda x: x.o, F.lit(0.0)).alias("est_offset")))
 
 
+def _mean_best(a: Column, b: Column) -> Column:
+    """avg_dist of aligned(a, b) alone; less than it where a hash is null."""
+    best = lambda x, long: F.aggregate(long, F.lit(64), lambda d, y: F.least(d, hamming_bits(x.h, y.h)))
+    mean = lambda short, long: F.aggregate(short, F.lit(0), lambda acc, x: acc + best(x, long)) / F.size(short)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.when(F.size(a) > F.size(b), mean(b, a)).otherwise(mean(a, b)))
+
+
 def match_pairs(pairs: DataFrame, prints: DataFrame, mode: str = "aligned", threshold: float = 10, least_monotone: float = 0.7) -> DataFrame:
     """Matched pairs with avg_dist, similarity (and monotone, est_offset);
     prints: ord, frames array<struct<ts, h>>.  No fingerprint, no match."""
@@ -70,6 +77,7 @@ def match_pairs(pairs: DataFrame, prints: DataFrame, mode: str = "aligned", thre
     if mode == "positional":
         out = both.withColumn("avg_dist", positional(F.col("fa.h"), F.col("fb.h"))).where(F.col("avg_dist") <= threshold)
         return out.select("a", "b", "avg_dist", similarity(F.col("avg_dist")).alias("similarity"))
+    both = both.where(_mean_best(F.col("fa"), F.col("fb")) <= threshold)  # cheaper than the whole match, which few pairs need
     out = both.withColumn("m", aligned(F.col("fa"), F.col("fb"))).where((F.col("m.avg_dist") <= threshold) & (F.col("m.monotone") >= least_monotone))
     return out.select("a", "b", "m.avg_dist", "m.monotone", similarity(F.col("m.avg_dist")).alias("similarity"), "m.est_offset")
 
