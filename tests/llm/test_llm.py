@@ -504,6 +504,58 @@ def test_repeated_strings_of_hot_anchors(spark, monkeypatch):
     assert rows[0][2] == 0 and rows[2][2] == rows[3][2] and {rows[2][2], rows[4][2]} == {0, n}
 
 
+def test_repeated_strings_of_long_texts(docs, monkeypatch):
+    """What a worker holds of a text of megabytes; small segments and lots against brute force; no table of the last level."""
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+
+    from winnow.llm import sadedup
+
+    levels = (sadedup.anchor_runs, sadedup.short_runs, sadedup.single_windows)
+    raw, more = np.random.default_rng(3).integers(97, 123, 4_000_000, dtype=np.uint8), ()
+    for level in levels:
+        tracemalloc.start()
+        at = []
+        for got in level(raw, *more):
+            at.append(got["at"].copy())
+            del got
+        assert tracemalloc.get_traced_memory()[1] < 200e6
+        tracemalloc.stop()
+        more = (np.concatenate(at),)
+        assert sadedup._split(more[0])[2].sum() == len(raw) - 99
+
+    for name, value in (("SEGMENT", 300), ("LOT", 20), ("HOT", 2)):
+        monkeypatch.setattr(sadedup, name, value)
+    rng = random.Random(17)
+    passage = text(rng, 300)
+    data = [text(rng, 60) + passage[rng.randrange(900) :][: rng.randrange(1000)] + text(rng, rng.randrange(90)) for _ in range(30)]
+    gone = [np.zeros(len(t), bool) for t in data]
+    runs = None
+    for level in levels:
+        given = [k for k in range(len(data)) if runs is None or runs[k]]
+        columns = [pa.array(given), pa.array([data[k] for k in given]), pa.array([5] * len(given)), *([pa.array([runs[k] for k in given])] if runs else [])]
+        batches = list(sadedup._make(level, 1)(iter([pa.RecordBatch.from_arrays(columns, names=["doc", "t", "tag", "runs"][: len(columns)])])))
+        assert len(batches) > 5
+        done = sadedup._settle_bucket(pd.concat([b.to_pandas() for b in batches]))
+        runs = [done["at"][(done.kind == 2) & (done.doc == k)].tolist() for k in range(len(data))]
+        for k in range(len(data)):
+            gone[k] |= sadedup.cover(len(data[k]), done["at"][(done.kind == 1) & (done.doc == k)].to_numpy().view(np.uint64))
+    seen = set()
+    for t, got in zip(data, gone, strict=True):
+        out = np.zeros(len(t), bool)
+        for s in range(len(t) - 99):
+            out[s : s + 100] |= t[s : s + 100] in seen
+            seen.add(t[s : s + 100])
+        assert (got == out).all()
+
+    tables = []
+    monkeypatch.undo()
+    monkeypatch.setattr(sadedup, "durable", lambda df, write=sadedup.durable: tables.append(write(df)) or tables[-1])
+    assert sadedup.remove_repeats(docs).count() == docs.count() and len(tables) == 2
+
+
 def test_near_duplicates_of_repeated_ids(spark, rows, monkeypatch):
     """Null ids, repeated rows, an id with two texts, clashing columns, heavy weights and small blocks."""
     from winnow.llm import dartminhash as d

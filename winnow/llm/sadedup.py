@@ -42,7 +42,8 @@ from winnow.storage import durable, spread
 WINDOW = 100
 GRAM = 24
 STEP = 17
-SEGMENT = 1 << 23  # window starts handled at once; places in it take 24 bits
+SEGMENT = 1 << 20  # window starts of a text handled at once, some 130 bytes each; places in it take 24 bits
+LOT = 1_000_000  # runs that a task holds before it sends them
 BUCKET_CHARS = 4_000_000
 HOT = 8  # runs of one key that a batch sends to its bucket, 2 at least
 
@@ -82,27 +83,42 @@ def _split(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (at >> U(16) & U(0xFFFFFFFF)).astype(np.int64), (at >> U(8) & U(255)).astype(np.int64), (at & U(255)).astype(np.int64)
 
 
+def _parts(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """A text by segments: (text that its runs cover, runs that start in it as
+    counted from its start, start)."""
+    if len(raw) <= SEGMENT:
+        yield raw, at, 0
+        return
+    at = np.sort(at)  # of one text, so by start
+    edges = np.arange(0, len(raw) + SEGMENT, SEGMENT)
+    cuts = np.searchsorted(_split(at)[0], edges)
+    for seg, a, b in zip(edges.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=False):
+        if a < b:
+            yield raw[seg : seg + SEGMENT + 2 * WINDOW], at[a:b] - (U(seg) << U(16)), seg
+
+
 def short_runs(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     """Level 2 runs of a text, from level 1 runs."""
-    sums = prefix_sums(raw)
-    lo, off, many = _split(at)
-    p = lo + off
-    for j in range(-(-WINDOW // STEP)):
-        s0, s1 = np.maximum(lo, p - STEP * j - STEP + 1), np.minimum(lo + many, p - STEP * j + 1)
-        ok = s0 < s1
-        core = p[ok] - STEP * j
-        yield _runs(span_hash(sums, core, core + WINDOW - STEP + 1) ^ U(j), sums, s0[ok], s1[ok], p[ok] - s0[ok], 0)
+    for part, own, seg in _parts(raw, at):
+        sums = prefix_sums(part)
+        lo, off, many = _split(own)
+        p = lo + off
+        for j in range(-(-WINDOW // STEP)):
+            s0, s1 = np.maximum(lo, p - STEP * j - STEP + 1), np.minimum(lo + many, p - STEP * j + 1)
+            ok = s0 < s1
+            core = p[ok] - STEP * j
+            yield _runs(span_hash(sums, core, core + WINDOW - STEP + 1) ^ U(j), sums, s0[ok], s1[ok], p[ok] - s0[ok], seg)
 
 
 def single_windows(raw: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     """Level 3: the windows of level 2 runs."""
-    sums = prefix_sums(raw)
-    lo, _, many = _split(at)
-    s = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    out = np.zeros(len(s), RUN)
-    out["key"], out["at"] = span_hash(sums, s, s + WINDOW), s.astype(U) << U(16) | U(1)
-    out["ctx"] = span_hash(prefix_sums(raw, 1), s, s + WINDOW, 1)
-    yield out
+    for part, own, seg in _parts(raw, at):
+        lo, _, many = _split(own)
+        s = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out = np.zeros(len(s), RUN)
+        out["key"], out["at"] = span_hash(prefix_sums(part), s, s + WINDOW), (s + seg).astype(U) << U(16) | U(1)
+        out["ctx"] = span_hash(prefix_sums(part, 1), s, s + WINDOW, 1)
+        yield out
 
 
 def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +127,14 @@ def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     runs = runs[np.lexsort((runs["at"], runs["doc"], runs["ctx"], runs["key"]))]
     new = np.ones(len(runs), bool)
     new[1:] = (runs["key"][1:] != runs["key"][:-1]) | (runs["ctx"][1:] != runs["ctx"][:-1])
-    lead = runs[np.maximum.accumulate(np.where(new, np.arange(len(runs)), 0))]
-    return runs[new], runs[~new & ((runs["doc"] != lead["doc"]) | (runs["at"] >> U(16) != lead["at"] >> U(16)))]
+    lead, late = np.maximum.accumulate(np.where(new, np.arange(len(runs)), 0)), np.flatnonzero(~new)
+    again, lead = runs[late], runs[lead[late]]
+    return runs[new], again[(again["doc"] != lead["doc"]) | (again["at"] >> U(16) != lead["at"] >> U(16))]
 
 
 def _blocks(runs: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    first, again = settle(np.concatenate(runs))
+    runs[:] = [np.concatenate(runs)]
+    first, again = settle(runs.pop())  # held nowhere else
     new = np.concatenate(([True], first["key"][1:] != first["key"][:-1])) if len(first) else np.zeros(0, bool)
     nth = np.arange(len(first)) - np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
     first, direct = first[nth < HOT], first[nth >= HOT]
@@ -148,9 +166,9 @@ def _make(level: Callable, buckets: int):
                     got["at"] |= U(b.column(2)[k].as_py()) << U(48)
                     held.append(got)
                     size += len(got)
-                if size >= 2_000_000:
-                    yield from _blocks(held, buckets)
-                    held, size = [np.zeros(0, RUN)], 0
+                    if size >= LOT:
+                        yield from _blocks(held, buckets)
+                        held, size = [np.zeros(0, RUN)], 0
         if size:
             yield from _blocks(held, buckets)
 
@@ -180,7 +198,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     tag = F.shiftrightunsigned("at", 48).cast("int").alias("tag")
     for level in (anchor_runs, short_runs, single_windows):
         blocks = source.mapInArrow(_make(level, buckets), "bucket int, kind int, blob binary")
-        done = durable(blocks.groupBy("bucket").applyInPandas(_settle_bucket, "kind int, doc long, at long"))
+        done = blocks.groupBy("bucket").applyInPandas(_settle_bucket, "kind int, doc long, at long")
+        if level is not single_windows:  # the last level's rows are read once only
+            done = durable(done)
         found.append(done.where("kind = 1").select("doc", tag, "at"))
         rest = done.where("kind = 2").groupBy("doc", tag).agg(F.collect_list("at").alias("runs"))  # at most a document's own
         source = docs.join(rest, ["doc", "tag"]).select("doc", "t", "tag", "runs")
