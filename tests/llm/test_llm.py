@@ -312,6 +312,39 @@ def test_lm_orders(spark, rows, monkeypatch):
             assert got[k].n_words == len(w) and abs(got[k].log_score - want) < 1e-3
 
 
+def test_lm_memory(rows):
+    """What a worker holds of a lot in each of the three steps, in bytes a word; scores against the definition."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from winnow.llm import lm
+
+    rng = random.Random(23)
+    texts = [t for _, t, _ in rows] + [text(rng, 100_000) for _ in range(3)]
+    lot = pa.table({"id": range(len(texts)), "text": texts, "lot": [7] * len(texts)})
+    split = [(t or "").split() for t in texts]
+    n_words = sum(map(len, split))
+
+    def held(f, *tables):
+        tracemalloc.start()
+        out = f(*tables)
+        assert tracemalloc.get_traced_memory()[1] < 100 * n_words
+        tracemalloc.stop()
+        return out
+
+    lm.list_grams(1, 2)(lot.slice(0, 9))  # the powers of the hash are kept
+    lists = held(lm.list_grams(3, 2), lot)
+    answers = pa.concat_tables([lm.answer(3)(lists.slice(k, 1)) for k in (2, 0, 1)])
+    held(lm.answer(1), lm.list_grams(1, 2)(lot))
+    got = held(lm.score_lot(2, 2, pa.int64()), lot, answers).to_pylist()
+    one = collections.Counter(w for ws in split for w in ws)
+    two = collections.Counter(p for ws in split for p in zip(ws, ws[1:]))  # noqa: B905
+    for r, ws in zip(got, split, strict=True):
+        p = [two[a, b] / one[a] if two[a, b] > 1 else 0.4 * one[b] / n_words for a, b in zip(ws, ws[1:])]  # noqa: B905
+        assert r["k"] == len(ws) and abs(r["s"] - np.log([one[w] / n_words for w in ws[:1]] + p).sum()) < 1e-3
+
+
 def test_sentencepiece_ids_equal_library(spark, docs):
     import sentencepiece
 

@@ -37,10 +37,9 @@ EMPTY = U(0)  # the empty n-gram: its count is the number of words
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every word, in order."""
     raw = np.frombuffer(b" ".join(texts), np.uint8)
-    blank = np.concatenate(([True], SPACE[raw], [True]))
-    lo = np.flatnonzero(blank[:-1] & ~blank[1:])
-    hi = np.flatnonzero(~blank[:-1] & blank[1:])
+    lo, hi = _edges(raw)
     starts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.append(np.searchsorted(lo, starts), len(lo))))
     hashes = np.empty(len(lo), U)
     k = 0
     while k < len(lo):
@@ -49,31 +48,50 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sums = prefix_sums(raw[at : hi[end - 1]])
         hashes[k:end] = span_hash(sums, lo[k:end] - at, hi[k:end] - at)
         k = end
-    return hashes, np.searchsorted(starts, lo, "right") - 1
-
-
-def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct n-grams ascending and their counts; of every word its text and,
-    for each length up to `order`, the place of the n-gram that ends with it
-    (-1: the text has too few words before)."""
+    return hashes, doc
+
+
+def _edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end."""
+    los, his, before = [], [], True
+    kind = np.int32 if len(raw) < 1 << 31 else np.int64
+    for a in range(0, len(raw), WINDOW):
+        blank = SPACE[raw[a : a + WINDOW]]
+        turns = np.flatnonzero(np.diff(blank, prepend=before))
+        into = blank[turns]
+        his.append((turns[into] + a).astype(kind))
+        los.append((turns[~into] + a).astype(kind))
+        before = blank[-1]
+    if not before:
+        his.append(np.array([len(raw)], kind))
+    return np.concatenate([np.zeros(0, kind), *los]), np.concatenate([np.zeros(0, kind), *his])
+
+
+def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, np.ndarray, np.ndarray]]]:
+    """Hashes of the empty n-gram, of all words and of the n-grams of each
+    length from 2 to `order`, in the order of their last words; of every word
+    its text; for each of those lengths its slice of the hashes, the words that
+    end its n-grams, and where the n-grams one shorter that end a word before
+    stand among those of their length.
+
+    Words are numbered in 32 bits and n-grams hashed by WINDOW, as a lot may
+    be one long text."""
     w, doc = token_hashes(texts)
-    ends, found = [np.arange(len(w))], [w]
+    out = np.empty(1 + order * len(w), U)
+    out[0] = EMPTY
+    out[1 : len(w) + 1] = w
+    lengths, last, ends = [], slice(1, len(w) + 1), np.arange(len(w), dtype=np.int32 if len(w) < 1 << 31 else np.int64)
     for n in range(2, order + 1):
-        full = np.zeros(len(w), U)
-        full[ends[-1]] = found[-1]
-        at = ends[-1][1:]  # whose word before ends an n-gram shorter by one, too
-        at = at[doc[at] == doc[at - (n - 1)]] if len(at) else at
-        ends.append(at)
-        found.append(mix(mix(full[at - 1] * BASE + U(n - 1)) + w[at]))
-    keys, place, n = np.unique(np.concatenate(([EMPTY], *found)), return_inverse=True, return_counts=True)
-    n[0] += len(w) - 1
-    places, k = [], 1
-    for at in ends:
-        p = np.full(len(w), -1)
-        p[at] = place[k : k + len(at)]
-        places.append(p)
-        k += len(at)
-    return keys, n, doc, places
+        at = ends[1:]  # whose word before ends an n-gram shorter by one, too
+        before = np.flatnonzero(doc[at] == doc[at - (n - 1)]).astype(ends.dtype)
+        ends = at[before]
+        here = slice(last.stop, last.stop + len(ends))
+        for a in range(0, len(ends), WINDOW):
+            b = min(a + WINDOW, len(ends))
+            out[here.start + a : here.start + b] = mix(mix(out[last][before[a:b]] * BASE + U(n - 1)) + w[ends[a:b]])
+        lengths.append((here, ends, before))
+        last = here
+    return out[: last.stop], doc, lengths
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -104,8 +122,21 @@ def range_floor(k: int, parts: int) -> np.uint64:
     return U(-(-(k << 32) // parts) << 32)
 
 
+def _new(ranked: np.ndarray) -> np.ndarray:
+    return np.concatenate(([True], ranked[1:] != ranked[:-1]))
+
+
+def _places(keys: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of distinct keys, and of every key its place among them, ascending."""
+    order = keys.argsort()
+    nth = np.cumsum(_new(keys[order]), dtype=np.int32 if len(keys) < 1 << 31 else np.int64)
+    place = np.empty_like(nth)
+    place[order] = nth - 1
+    return int(nth[-1]), place
+
+
 def _texts(lot: pa.Table) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in lot.column("text").to_pylist()]
+    return [t or b"" for t in lot.column("text").cast(pa.large_binary()).to_pylist()]
 
 
 LISTS = "lot long, part long, size long, grams binary, counts binary"
@@ -114,7 +145,12 @@ ANSWERS = "lot long, part long, size long, counts binary"
 
 def list_grams(parts: int, order: int) -> Callable[[pa.Table], pa.Table]:
     def run(lot: pa.Table) -> pa.Table:
-        keys, n = grams(_texts(lot), order)[:2]
+        keys, doc = grams(_texts(lot), order)[:2]
+        keys.sort()
+        first = np.flatnonzero(_new(keys))
+        n = np.diff(np.append(first, len(keys)))
+        n[0] += len(doc) - 1
+        keys = keys[first]
         number = lot.column("lot")[0].as_py()
         part = (keys >> U(32)) * U(parts) >> U(32)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))  # of the ranges that the lot has
@@ -131,17 +167,20 @@ def list_grams(parts: int, order: int) -> Callable[[pa.Table], pa.Table]:
 
 def answer(parts: int) -> Callable[[pa.Table], pa.Table]:
     def run(lists: pa.Table) -> pa.Table:
-        rows = lists.to_pylist()
-        floor = range_floor(rows[0]["part"], parts)
-        keys = [np.cumsum(unsqueeze(r["grams"], r["size"]), dtype=U) + floor for r in rows]
-        n = np.concatenate([unpacked(r["counts"], r["size"]) for r in rows])
-        order = np.concatenate(keys).argsort(kind="stable")
-        ranked = np.concatenate(keys)[order]
-        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        totals = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(ranked))))
-        back = np.empty_like(totals)
-        back[order] = totals
-        blobs = [packed(x) for x in np.split(back, np.cumsum([r["size"] for r in rows])[:-1])]
+        floor = range_floor(lists.column("part")[0].as_py(), parts)
+        cuts = np.cumsum([0, *lists.column("size").to_pylist()])
+        keys, n = np.empty(cuts[-1], U), np.empty(cuts[-1], U)
+        for a, b, g, c in zip(cuts, cuts[1:], lists.column("grams"), lists.column("counts"), strict=False):
+            np.cumsum(unsqueeze(g.as_py(), b - a), out=keys[a:b], dtype=U)
+            n[a:b] = unpacked(c.as_py(), b - a)
+        keys += floor
+        order = keys.argsort(kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(_new(keys))
+        del keys
+        totals = np.add.reduceat(n[order], first)
+        n[order] = np.repeat(totals, np.diff(np.append(first, len(n))))
+        blobs = [packed(n[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         return lists.select(["lot", "part", "size"]).append_column("counts", pa.array(blobs, pa.binary()))
 
     return run
@@ -149,18 +188,24 @@ def answer(parts: int) -> Callable[[pa.Table], pa.Table]:
 
 def score_lot(order: int, cutoff: int, id_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(lot: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, _, doc, places = grams(_texts(lot), order)
-        got = sorted(answers.to_pylist(), key=lambda r: r["part"])
-        counts = np.concatenate([unpacked(r["counts"], r["size"]) for r in got]).astype(np.float64)
-        if len(counts) != len(keys):
+        keys, doc, lengths = grams(_texts(lot), order)
+        size, place = _places(keys)
+        del keys
+        got = answers.select(["part", "size", "counts"]).sort_by("part")
+        cuts = np.cumsum([0, *got.column("size").to_pylist()])
+        if cuts[-1] != size:
             raise ValueError("a lot's answers don't match its n-grams")
-        lp = np.log(counts[places[0]] / max(counts[0], 1.0))
-        for shorter, place in zip(places, places[1:], strict=False):
-            here = np.flatnonzero(place >= 0)
+        counts = np.empty(size)
+        for a, b, c in zip(cuts, cuts[1:], got.column("counts"), strict=False):
+            counts[a:b] = unpacked(c.as_py(), b - a)
+        last = place[1 : len(doc) + 1]
+        lp = np.log(counts[last] / max(counts[0], 1.0))
+        for here, ends, before in lengths:
             n = counts[place[here]]
             seen = n >= cutoff
-            lp[here[~seen]] += np.log(BACKOFF)
-            lp[here[seen]] = np.log(n[seen] / counts[shorter[here[seen] - 1]])
+            lp[ends[~seen]] += np.log(BACKOFF)
+            lp[ends[seen]] = np.log(n[seen] / counts[last[before[seen]]])
+            last = place[here]
         k = np.bincount(doc, minlength=lot.num_rows)
         s = np.bincount(doc, weights=lp, minlength=lot.num_rows)
         cols = [lot.column("id").combine_chunks().cast(id_type), pa.array(k, pa.int64()), pa.array(s, pa.float64())]
