@@ -428,6 +428,33 @@ def test_fingerprints_of_repeated_ids(spark):
     assert len({r.fingerprint for r in got if r.doc_id == 2}) == 2
 
 
+def test_fingerprints_write_no_table(spark, tmp_path, monkeypatch):
+    """Many null ids, repeated ids and a pair of documents: rows and likenesses, with nothing written on the way."""
+    from pyspark.sql import functions as F
+
+    from winnow import storage
+    from winnow.llm.omh import edited_fingerprints, likeness, shown, signature
+
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    rng = random.Random(29)
+    base = [text(rng, 30) for _ in range(4)]
+    data = [(None, base[0])] * 50 + [(None, None)] * 3 + [(-7, base[1]), (4, base[2]), (4, base[2]), (9, base[3]), (9, base[0]), (2**62, base[1])]
+    got = edited_fingerprints(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert not list(tmp_path.iterdir())
+    assert collections.Counter((r.doc_id, r.n_chars) for r in got) == collections.Counter((k, len(t or "")) for k, t in data)
+    texts = spark.createDataFrame([(t,) for t in ["", *base]], "t string").select("t", F.xxhash64("t").alias("h"), signature(F.col("t")).alias("s"))
+    prints = {r.t: r.f for r in texts.select("t", shown(F.col("s")).alias("f")).collect()}
+    pairs = texts.alias("a").crossJoin(texts.alias("b")).select(F.col("a.t").alias("t"), F.col("b.t").alias("u"), F.col("b.h"), likeness(F.col("a.s"), F.col("b.s")).alias("x")).collect()
+    alike, hashes = {(r.t, r.u): r.x for r in pairs}, {r.u: r.h for r in pairs}
+    later = {-7: 4, 4: 9, 9: 2**62, 2**62: -7}
+    first = {k: min((t for i, t in data if i == k), key=hashes.get) for k in later}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    cut = lambda t: t[: len(t) - len(t) // 4]
+    want = [(k, prints[t or ""], 0.0 if k is None else alike[t, first[later[k]]], sha(cut(t or "") + ("" if k is None else first[later[k]][: len(t) // 4]))) for k, t in data]
+    assert collections.Counter((r.doc_id, r.fingerprint, r.near_next, r.edited_sha256) for r in got) == collections.Counter(want)
+    assert edited_fingerprints(spark.createDataFrame([(None, "a b c d")], "doc_id long, text string")).count() == 1
+
+
 CLASH = ["text_", "t", "id", "row", "lang_pred", "score", "n_grams", "predicted", "host", "rule", "verdict", "hit_verdict", "best", "kept_", "gone_", "__text", "__kept", "__gone"]
 
 

@@ -19,8 +19,6 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.storage import durable
-
 KMER = 2
 TUPLES = 32
 NEAR = 10  # elements expected among the low ranks that are looked at first
@@ -138,18 +136,31 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     known = base.where("id is not null")  # the same in both joins, so that texts are shuffled once
     sized = known.groupBy("id").agg(F.max(F.floor(F.length("t") / 4)).alias("cut"))
-    links = durable(next_ids(base.select("id")).join(sized, "id"))
-    ends = known.join(links.select(F.col("next").alias("id"), F.col("id").alias("for_id"), "cut"), "id")
+    links = next_ids(base.select("id")).join(sized, "id").select(F.col("next").alias("id"), F.col("id").alias("for_id"), "cut")
     tail = F.min(F.struct(F.xxhash64("t").alias("h"), F.expr("left(t, cut)").alias("tail")))
-    tails = ends.groupBy(F.col("for_id").alias("id")).agg(tail.alias("m")).select("id", F.col("m.tail").alias("tail"))
-    both = known.join(tails.join(links.select("id", "next"), "id"), "id").select("id", "next", "t", "tail")
-    both = both.unionByName(base.where("id is null").select("id", F.lit(None).cast("long").alias("next"), "t", F.lit("").alias("tail")))
-    edited = F.expr("concat(left(t, length(t) - floor(length(t) / 4)), left(tail, floor(length(t) / 4)))")
-    texts = both.select("id", "next", "t", edited.alias("e"))
-    signed = durable(texts.select("id", "next", F.xxhash64("t").alias("h"), F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), signature(F.col("t")).alias("s"), signature(F.col("e")).alias("es")))
-    one = signed.where("id is not null").groupBy("id").agg(F.min(F.struct("h", "s")).alias("m"))
-    other = one.select(F.col("id").alias("next"), F.col("m.s").alias("ns"))
-    return signed.join(other, "next", "left").select(
+    tails = known.join(links, "id").groupBy(F.col("for_id").alias("to")).agg(tail.alias("m"), F.min("id").alias("next"))
+    both = known.join(tails.select(F.col("to").alias("id"), "next", F.col("m.tail").alias("tail")), "id")
+    signed = _signed(both)
+    # every row goes to its next document as one that asks and to its own as one that is asked for: the likenesses
+    # take one shuffle of signatures, which are neither computed twice nor written as a table
+    ask = F.struct(F.col("next").alias("key"), F.struct("h", "s", "id", "n_chars", "edited_sha256", "es").alias("row"), F.lit(None).cast(_SIGNED).alias("given"))
+    give = F.struct(F.col("id").alias("key"), F.lit(None).cast(_ROW).alias("row"), F.struct("h", "s").alias("given"))
+    met = signed.select(F.inline(F.array(ask, give)))
+    found = met.withColumn("ns", F.min("given").over(Window.partitionBy("key")).getField("s")).where("row is not null").select("row.*", "ns")
+    rest = _signed(base.where("id is null").select("id", "t", F.lit("").alias("tail"))).withColumn("ns", F.lit(None).cast("array<bigint>"))
+    return found.unionByName(rest).select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", shown(F.col("s")).alias("fingerprint"), shown(F.col("es")).alias("edited_fingerprint"),
         likeness(F.col("s"), F.col("es")).alias("near_edited"), likeness(F.col("s"), F.col("ns")).alias("near_next"),
     )
+
+
+_SIGNED = "struct<h: bigint, s: array<bigint>>"
+_ROW = "struct<h: bigint, s: array<bigint>, id: bigint, n_chars: bigint, edited_sha256: string, es: array<bigint>>"
+
+
+def _signed(both: DataFrame) -> DataFrame:
+    """Rows of t and tail with hash, length and signature of the text, and hash and signature of the edited one."""
+    edited = F.expr("concat(left(t, length(t) - floor(length(t) / 4)), left(tail, floor(length(t) / 4)))")
+    texts = both.withColumn("e", edited)
+    kept = [c for c in ("id", "next") if c in both.columns]
+    return texts.select(*kept, F.xxhash64("t").alias("h"), F.length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), signature(F.col("t")).alias("s"), signature(F.col("e")).alias("es"))
